@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import exact_dedup, mixing
+from tallyweave.llm import exact_dedup, mixing, piece_codec, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where a public tokenizer's file lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -21,8 +28,18 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.codec_digests(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op9_mix_sources": op9_mix_sources,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
