@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import exact_dedup, fingerprints, html_extract, license_scan, mixing, piece_codec, quality, token_counts, toxicity
+from tallyweave.llm import exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, mixing, piece_codec, quality, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(_documents(spark, sf_dir), k=4, num=85, den=100)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_html_main_text": op6_html_main_text,
     "op7_simhash": op7_simhash,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
