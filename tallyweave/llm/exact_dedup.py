@@ -188,6 +188,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs, all its columns, with the one row of each group of equal texts that exact_dedup keeps."""
+    kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_digest(F.col("text")).alias("digest"))
+    stay = rows.join(kept, (F.col("digest") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    return stay.groupBy("digest", "id").agg(F.first("row").alias("row")).select("row.*")
+
+
 SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)

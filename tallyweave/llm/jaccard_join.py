@@ -342,3 +342,10 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     component that has another. An empty table gives an empty result; other columns are not read.
     """
     return Join(docs, k, num, den).result()
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs, all its columns, with the document of each component that has the smallest doc_id; null ids not linked to another stay."""
+    stay = near_components(docs, k, num, den).where("component_id <=> doc_id").select(F.col("doc_id").alias("stay_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")), "left_semi").select("row.*")

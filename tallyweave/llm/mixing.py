@@ -118,6 +118,11 @@ def pivotal_round(rows: DataFrame, blocks: list[list[Column]], tree: list[Column
     return out
 
 
+def word_count(text: Column) -> Column:
+    """Runs of anything but ASCII white space; null has 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (of its source), copies, taken = size * copies.
 
@@ -126,7 +131,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     a source of its own, ordered last. Repeated rows are documents of their own. An empty table
     gives an empty result. Other columns are not read.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
     targets = source_targets(sized).withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rate", rate).withColumn("base", F.floor("rate").cast("int"))
@@ -139,3 +144,17 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     keys.append([F.col("source"), size_class])
     out = pivotal_round(rows, keys, [F.col("source")]).withColumn("copies", F.col("copies") + F.col("base"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs, all its columns, each row as many times as mix_sources copies it.
+
+    Rows that share doc_id, source and size are told apart by number only.
+    """
+    keys = ["id", "of", "words"]
+    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words")).agg(F.collect_list("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), word_count(F.col("text")).alias("words"))
+    turns = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    same = [turns[k].eqNullSafe(taken[k]) for k in keys]
+    met = turns.join(taken, same[0] & same[1] & same[2]).select("row", F.array_repeat(F.lit(0), F.get("copies", F.col("turn") - 1)).alias("times"))
+    return met.select("row", F.explode("times").alias("time")).select("row.*")
