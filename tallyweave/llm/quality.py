@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.labelled import BOUND, CHUNK, fold, labelled_texts, summed
-from tallyweave.llm.textblocks import WORDS_AND_MARKS, mix, word_hashes
+from tallyweave.llm.textblocks import WORDS_AND_MARKS, mix, pieces, word_hashes
 
 BITS = 20
 WIDTH = 1 << BITS
@@ -78,9 +78,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> np.ndarray:
         def train(batches: Iterator[pa.RecordBatch], sent=sent) -> list[np.ndarray]:
             model, seen = Ftrl(sent.value), 0
             for batch in batches:
-                slots, values, at = features(batch.column(0))
-                for i, y in enumerate(batch.column(1).to_pylist()):
-                    model.update(slots[at[i] : at[i + 1]], values[at[i] : at[i + 1]], float(y))
+                for a, b in pieces(batch.column(0)):
+                    slots, values, at = features(batch.column(0)[a:b])
+                    for i, y in enumerate(batch.column(1)[a:b].to_pylist()):
+                        model.update(slots[at[i] : at[i + 1]], values[at[i] : at[i + 1]], float(y))
                 seen += batch.num_rows
             share = np.zeros(CHUNK)
             share[0] = seen
@@ -101,9 +102,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Dat
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        slots, values, at = features(text)
-        total = np.append(0, np.cumsum(sent.value[slots] * values))
-        return pa.array(1 / (1 + np.exp(-np.clip(total[at[1:]] - total[at[:-1]], -30, 30))))
+        out = np.zeros(len(text))
+        for a, b in pieces(text):
+            slots, values, at = features(text[a:b])
+            total = np.append(0, np.cumsum(sent.value[slots] * values))
+            out[a:b] = total[at[1:]] - total[at[:-1]]
+        return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -7,13 +7,15 @@ BLOCK bytes, so that memory stays bounded by a block (or one word) however long
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK = 1 << 21
+BLOCK = 2_000_000
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -117,6 +119,14 @@ def chain(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return out[np.cumsum(mask[:-1]) > 0], np.append(0, np.cumsum(inside))
 
 
+def pieces(column: pa.Array, most: int = 2 * BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of a text column with about most bytes each, one text at least."""
+    size = pa.compute.fill_null(pa.compute.binary_length(column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // most
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(column)]
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Makes checkpoint() usable: the session's own spark.checkpoint.dir, else (in tests) a folder of ours."""
     context = spark.sparkContext
