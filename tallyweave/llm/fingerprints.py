@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.textblocks import chain, cut, mix, word_hashes
+from tallyweave.llm.textblocks import BLOCK, chain, cut, mix, pieces, word_hashes
 
 BITS, SHINGLE = 128, 5
 #: Documents of one run of neighbouring ids, and runs at most (so many bounds are broadcast).
@@ -60,8 +60,8 @@ def fingerprint(text: Column) -> Column:
     @F.arrow_udf("binary")
     def run(text: pa.Array) -> pa.Array:
         out = []
-        for a in range(0, len(text), 2048):
-            out += [x.tobytes() for x in simhash(text.slice(a, 2048))]
+        for a, b in pieces(text, BLOCK):
+            out += [x.tobytes() for x in simhash(text[a:b])]
         return pa.array(out, pa.binary())
 
     return run(text.cast("string"))
