@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _common(a: str, b: str) -> int:
@@ -53,7 +54,7 @@ def compare(name: str, a: Column, b: Column) -> Column:
     """0 to 1: 0 if either is empty, 1 if equal; Python sees only the pairs that are neither."""
     score = COMPARATORS[name]
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(DoubleType())
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([None if p is None or q is None else score(p, q) / 100 for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 

@@ -12,6 +12,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyweave.functions.reference_data import ABBREVIATIONS, LEGAL_SUFFIXES, NOISE_TOKENS, REFERENCE_PREFIXES
 
@@ -19,7 +20,7 @@ from tallyweave.functions.reference_data import ABBREVIATIONS, LEGAL_SUFFIXES, N
 LOOK_ALIKES = ("ıøØłŁđĐðÐþÞßæ", "ioOlLdDdDtTsa")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _decomposed(text: pa.Array) -> pa.Array:
     import unicodedata
 
@@ -106,27 +107,45 @@ PROFILES: dict[str, list[str]] = {
 }
 
 
-def normalise(c: Column, profile: str, without: Iterable[str] = ()) -> Column:
-    """The profile's steps in order, but those switched off; null stays null."""
+def _steps(c: Column, profile: str, without: Iterable[str]) -> Column:
+    """A struct of the final value and the names of the steps that changed it.
+
+    Each step's value is bound in a one-element array, so the expression grows with the number of
+    steps and no more. unicode_fold may run in Python, so it stays outside of them.
+    """
     skip = set(without)
+    names = [s for s in PROFILES[profile] if s not in skip]
+    first = F.when((F.trim(unicode_fold(c)) == "") & (F.trim(c) != ""), c).otherwise(unicode_fold(c)) if "unicode_fold" in names else c
+    none = F.array().cast("array<string>")
+    state = F.struct(first.alias("value"), F.when(first != c, F.array(F.lit("unicode_fold"))).otherwise(none).alias("marks"))
+
+    def stepped(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda x: F.struct(x.alias("state"), step(x["value"]).alias("new"))
 
-    def step(value: Column, name: str) -> Column:
-        new = STEPS[name](value)
-        return F.when((F.trim(new) == "") & (F.trim(value) != ""), value).otherwise(new)
+    def guarded(name: str) -> Callable[[Column], Column]:
+        def run(pair: Column) -> Column:
+            old, new = pair["state"]["value"], pair["new"]
+            stays = ((F.trim(new) == "") & (F.trim(old) != "")) | (new == old)
+            marks = F.when(stays, pair["state"]["marks"]).otherwise(F.concat(pair["state"]["marks"], F.array(F.lit(name))))
+            return F.struct(F.when(stays, old).otherwise(new).alias("value"), marks.alias("marks"))
 
-    return reduce(step, (s for s in PROFILES[profile] if s not in skip), c)
+        return run
+
+    box = F.array(state)
+    for name in names:
+        if name != "unicode_fold":
+            box = F.transform(F.transform(box, stepped(STEPS[name])), guarded(name))
+    return F.get(box, F.lit(0))
+
+
+def normalise(c: Column, profile: str, without: Iterable[str] = ()) -> Column:
+    """The profile's steps in order, but those switched off; null stays null."""
+    return _steps(c, profile, without)["value"]
 
 
 def changed_steps(c: Column, profile: str, without: Iterable[str] = ()) -> Column:
     """The rule string '<profile>:<step>+<step>' of the steps that changed the value."""
-    marks, value, skip = [], c, set(without)
-    for name in PROFILES[profile]:
-        if name not in skip:
-            new = STEPS[name](value)
-            new = F.when((F.trim(new) == "") & (F.trim(value) != ""), value).otherwise(new)
-            marks.append(F.when(new != value, F.lit(name)))
-            value = new
-    return F.concat(F.lit(f"{profile}:"), F.array_join(F.array_compact(F.array(*marks)), "+"))
+    return F.concat(F.lit(f"{profile}:"), F.array_join(_steps(c, profile, without)["marks"], "+"))
 
 
 def digits_of(c: Column) -> Column:

@@ -43,10 +43,9 @@ def date_score(invoice_date: Column, value_date: Column) -> Column:
     return F.when(gap.isNull(), 0.0).when(gap < 0, base * 0.6).otherwise(base)
 
 
-def reference_score(reference: Column, narration: Column) -> Column:
-    """The better of weighted token and digit similarity, and of digits that carry the reference alone."""
-    a, b = normalise(reference, "reference.v2"), normalise(narration, "reference.v2")
-    token, digits = rescaled(compare("token_set_ratio", a, b), 0.6), digit_agreement(digits_of(reference), digits_of(narration))
+def reference_score(a: Column, b: Column, a_digits: Column, b_digits: Column) -> Column:
+    """Of two canonical references: the better of weighted token and digit similarity, and of digits that carry it alone."""
+    token, digits = rescaled(compare("token_set_ratio", a, b), 0.6), digit_agreement(a_digits, b_digits)
     return F.greatest(0.6 * token + 0.4 * digits, F.when(digits >= 0.6, digits * 0.9).otherwise(0.0))
 
 
@@ -89,10 +88,11 @@ def exhaustive_pairs(invoices: DataFrame, payments: DataFrame) -> DataFrame:
 
 def scored_pairs(pairs: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """The four scores and the composite of pairs (id, payment_id)."""
-    rows = pairs.join(invoices, "id").join(payments, "payment_id")
+    canonical = lambda c, name: (normalise(F.col(c), "reference.v2").alias(f"{name}_canonical"), digits_of(F.col(c)).alias(f"{name}_digits"))
+    rows = pairs.join(invoices.select("*", *canonical("reference", "invoice")), "id").join(payments.select("*", *canonical("narration_raw", "payment")), "payment_id")
     scores = {
         "amount": amount_score(F.col("gross_paise"), F.col("amount_paise")),
-        "reference": reference_score(F.col("reference"), F.col("narration_raw")),
+        "reference": reference_score(F.col("invoice_canonical"), F.col("payment_canonical"), F.col("invoice_digits"), F.col("payment_digits")),
         "date": date_score(F.col("invoice_date"), F.col("value_date")),
         "vendor": F.lit(0.0),
     }

@@ -208,11 +208,11 @@ def _digit_scored(spark, sf_dir) -> DataFrame:
         "vendor": F.lit(0.0),
     }
     rows = rows.select("*", *[v.alias(f"{k}_score") for k, v in scores.items()])
-    return rows.withColumn("composite", F.round(scoring.composite({k: F.col(f"{k}_score") for k in scores}), 9))
+    return rows.withColumn("composite", F.round(scoring.composite({k: F.col(f"{k}_score") for k in scores}), 6))
 
 
 _RANKED = f"""scores AS (SELECT *, round({_AMOUNT}, 9) AS am, round(agreement, 9) AS re, round({_DATE}, 9) AS da FROM agreed),
-comp AS (SELECT *, round(greatest(0.0, least(1.0, CAST(0.35 AS DOUBLE) * am + CAST(0.4 AS DOUBLE) * re + CAST(0.1 AS DOUBLE) * da)), 9) AS composite FROM scores),
+comp AS (SELECT *, round(greatest(0.0, least(1.0, CAST(0.35 AS DOUBLE) * am + CAST(0.4 AS DOUBLE) * re + CAST(0.1 AS DOUBLE) * da)), 6) AS composite FROM scores),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY composite DESC, re DESC, am DESC, abs({_GAP}), payment_id) AS rank FROM comp WHERE composite >= 0.25),
 tops AS (SELECT *, max(composite) OVER (PARTITION BY id) - composite <= 0.02 AS in_tie FROM numbered WHERE rank <= 5),
 cand AS (SELECT *, in_tie AND sum(CASE WHEN in_tie THEN 1 ELSE 0 END) OVER (PARTITION BY id) >= 2 AS tied FROM tops)"""
