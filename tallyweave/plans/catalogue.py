@@ -441,9 +441,9 @@ def _queue(spark, sf_dir) -> DataFrame:
     return review.exception_queue(_holds(spark, sf_dir), ledger.invoices(spark, sf_dir))
 
 
-@query("exception_queue", _with(" SELECT * FROM queue", _HOLDS, _QUEUE))
+@query("exception_queue", _with(" SELECT * REPLACE (CAST(CAST(held_since AS DATE) AS VARCHAR) AS held_since) FROM queue", _HOLDS, _QUEUE))
 def exception_queue(spark, sf_dir):
-    return _queue(spark, sf_dir)
+    return _queue(spark, sf_dir).withColumn("held_since", F.col("held_since").cast("string"))
 
 
 @query("queue_totals", _with(" SELECT count(*) AS cases, CAST(coalesce(sum(money_at_risk_paise), 0) AS BIGINT) AS money_paise FROM queue", _HOLDS, _QUEUE))
@@ -451,9 +451,9 @@ def queue_totals(spark, sf_dir):
     return _queue(spark, sf_dir).agg(F.count("*").alias("cases"), F.coalesce(F.sum("money_at_risk_paise"), F.lit(0)).alias("money_paise"))
 
 
-@query("queue_page", _with(" SELECT q.* FROM queue q WHERE blocks_accounting AND EXISTS (SELECT 1 FROM hold h WHERE h.invoice_id = q.invoice_id AND hold_type = 'duplicate_candidate') ORDER BY money_at_risk_paise DESC, invoice_id LIMIT 25 OFFSET 25", _HOLDS, _QUEUE))
+@query("queue_page", _with(" SELECT q.* REPLACE (CAST(CAST(held_since AS DATE) AS VARCHAR) AS held_since) FROM queue q WHERE blocks_accounting AND EXISTS (SELECT 1 FROM hold h WHERE h.invoice_id = q.invoice_id AND hold_type = 'duplicate_candidate') ORDER BY money_at_risk_paise DESC, invoice_id LIMIT 25 OFFSET 25", _HOLDS, _QUEUE))
 def queue_page(spark, sf_dir):
-    return review.queue_page(_queue(spark, sf_dir), _holds(spark, sf_dir), "duplicate_candidate", True, 25, 25)
+    return review.queue_page(_queue(spark, sf_dir), _holds(spark, sf_dir), "duplicate_candidate", True, 25, 25).withColumn("held_since", F.col("held_since").cast("string"))
 
 
 
@@ -532,7 +532,7 @@ def release_reconcile(spark, sf_dir):
 
 # --- journal ---------------------------------------------------------------------------------
 
-_JOURNAL = """journal AS (SELECT event_id + CAST(floor(event_id / 53.0) AS BIGINT) AS sequence, ts AS at, user_id AS actor, event_type AS event, sha256(CAST(event_id AS VARCHAR) || '|' || event_type) AS payload_hash FROM events),
+_JOURNAL = """journal AS (SELECT event_id + CAST(floor(event_id / 53.0) AS BIGINT) AS sequence, ts, user_id AS actor, event_type AS event, sha256(CAST(event_id AS VARCHAR) || '|' || event_type) AS payload_hash FROM events),
 chained AS (SELECT *, CASE WHEN sequence % 97 = 0 THEN 'broken' ELSE lag(payload_hash) OVER (ORDER BY sequence) END AS prev_hash FROM journal)"""
 
 
@@ -552,7 +552,7 @@ def chain_links(spark, sf_dir):
     return review.broken_links(_journal(spark, sf_dir))
 
 
-@query("participants", f"WITH {_JOURNAL} SELECT actor, arg_min(sequence, (at, sequence)) AS first_sequence, arg_max(sequence, (at, sequence)) AS last_sequence, count(*) AS acts, count(*) FILTER (event = 'purchase') AS review_acts FROM journal GROUP BY 1")
+@query("participants", f"WITH {_JOURNAL} SELECT actor, arg_min(sequence, (ts, sequence)) AS first_sequence, arg_max(sequence, (ts, sequence)) AS last_sequence, count(*) AS acts, count(*) FILTER (event = 'purchase') AS review_acts FROM journal GROUP BY 1")
 def participants(spark, sf_dir):
     return review.participants(_journal(spark, sf_dir))
 
