@@ -126,8 +126,11 @@ def main_text(html: str | None) -> str:
         return ""
     texts, plain, tags, boilerplate, region = zip(*page.lines, strict=True)
     boilerplate, region = np.array(boilerplate), np.array(region)
-    ratio = smoothed(np.log1p(np.array(plain) / np.maximum(np.array(tags), 1)))
-    marked = (ratio >= _threshold(ratio)) & ~boilerplate
+    own = np.log1p(np.array(plain) / np.maximum(np.array(tags), 1))
+    ratio = smoothed(own)
+    marked = (np.maximum(ratio, own) >= _threshold(ratio)) & ~boilerplate  # a dense line at a region's edge counts by its own ratio
+    if boilerplate.all():
+        return ""
     if not marked.any():
         marked = ~boilerplate
     sizes = np.array([len(t) for t in texts]) * marked
