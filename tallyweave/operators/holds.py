@@ -203,7 +203,7 @@ def cardinality_residuals(pools: DataFrame) -> DataFrame:
                 masks, best = subset_sum(amounts, int(gross))
                 chosen = [[x for k, x in enumerate(ids) if mask >> k & 1] for mask in masks]
                 if len(masks) == 1 or masks and all(len(c) == 1 for c in chosen):
-                    out.append((id_, "settled", "+".join(chosen[0]), 0))
+                    out.append((id_, "settled", "+".join(min(chosen)), 0))
                 elif masks:
                     out.append((id_, "contested", "", int(gross)))
                 elif best and len(ids) > 1:
