@@ -4,8 +4,9 @@ The global order puts n-grams that few texts hold first: by the count of their s
 table that covers all texts, then by slot and hash. That order is cut into fragments of equal mass.
 A set travels as one segment per fragment; the partial overlaps of a pair are counted in each
 fragment apart and summed per pair. Only pairs that can reach the threshold are counted: they share
-an n-gram of both prefixes, their sizes and positions allow the overlap, and so do 512-bit parity
-sketches of the sets (sets whose sketches differ in d bits differ in d n-grams at least).
+an n-gram of both prefixes, their sizes and positions allow the overlap, and so do parity sketches of
+the sets. A sketch has about as many bits as its set has n-grams; sets whose sketches differ in d
+bits differ in d n-grams at least, also after the longer sketch is folded to the shorter one's size.
 
 Texts with the same set are one class. Pairs are never listed within a group: per prefix n-gram each
 class meets one centre; once those links are known, only classes of different components that still
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm.piece_codec import blocks
 from tallyweave.llm.textblocks import chain, cut, mix, word_hashes
 
-#: Slots of the counts table and of one row of it; bits of a sketch; fragments of the order.
-TABLE_BITS, ROW, SKETCH, FRAGMENTS = 20, 1 << 13, 512, 8
+#: Slots of the counts table and of one row of it; bits of a sketch, least and most; fragments of the order.
+TABLE_BITS, ROW, SKETCH, LONG_SKETCH, FRAGMENTS = 20, 1 << 13, 512, 1 << 15, 32
 #: 64-bit words of the filter for needed sets; classes of one comparing group, at most twice over.
 FILTER_WORDS, GROUP = 1 << 18, 1024
 _U = np.uint64
@@ -64,6 +65,23 @@ def signatures(grams: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> np.ndar
     return mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def sketches(grams: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity sketches: bit h mod m is set if an odd number of the set's hashes fall there; m is a power of two."""
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), SKETCH, LONG_SKETCH)
+    at = np.cumsum(width) - width
+    bit = at[doc] + (mix(grams + _U(29)).astype(np.int64) & (width[doc] - 1))
+    packed = np.packbits((np.bincount(bit, minlength=int(width.sum())) & 1).astype(np.uint8))
+    return [packed[a : a + w].tobytes() for a, w in zip((at // 8).tolist(), (width // 8).tolist(), strict=True)]
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n)) if len(v) > n else v for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from blocks(batch)
@@ -96,10 +114,8 @@ def _measure(k: int):
             sigs = signatures(grams, doc, sizes)
             fresh = _fresh(seen, sigs, sizes)
             counts += np.bincount((grams[fresh[doc]] & _SLOT).astype(np.int64), minlength=1 << TABLE_BITS)
-            odd = np.bincount(doc * SKETCH + (grams >> _U(55)).astype(np.int64), minlength=part.num_rows * SKETCH) & 1
-            sketch = np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH), axis=1)
             none = pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(sigs), pa.array([x.tobytes() for x in sketch], pa.binary()), *none], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(sigs), pa.array(sketches(grams, doc, sizes), pa.binary()), *none], schema=schema)
         kind = np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.uint64
         for i, x in enumerate(counts.reshape(-1, ROW)):
             if x.any():
@@ -143,11 +159,6 @@ def _can(n: Column, pos: Column, m: Column, qos: Column, num: int, den: int) ->
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (F.least(n - pos, m - qos) >= _need(n, m, num, den))
 
 
-def _sketches_apart(a: Column, b: Column) -> Column:
-    word = lambda x, i: F.conv(F.substring(F.hex(x), 16 * i + 1, 16), 16, -10).cast("long")
-    return sum((F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(1, SKETCH // 64)), F.bit_count(word(a, 0).bitwiseXOR(word(b, 0))))
-
-
 def _pairs_by_order(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -219,7 +230,7 @@ class Join:
         @F.arrow_udf("int")
         def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
             both = ((np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(x, y, strict=True))
-            return pa.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in both], pa.int32())
+            return pa.array([int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) for p, q in both], pa.int32())
 
         left = pairs.join(segments.withColumnsRenamed({"sig": "a", "grams": "left"}), "a")
         both = left.join(segments.withColumnsRenamed({"sig": "b", "grams": "right"}), ["b", "fragment"])
@@ -232,7 +243,12 @@ class Join:
         near = lambda end: self.classes.select(F.col("sig").alias(end), F.col("sketch").alias(f"sketch_{end}"))
         both = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb")).join(near("a"), "a").join(near("b"), "b")
         most = F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), self.num, self.den)
-        return both.where(_sketches_apart(F.col("sketch_a"), F.col("sketch_b")) <= most).select("a", "b", "na", "nb")
+
+        @F.arrow_udf("int")
+        def apart(x: pa.Array, y: pa.Array) -> pa.Array:
+            return pa.array([sketch_distance(p.as_buffer(), q.as_buffer()) for p, q in zip(x, y, strict=True)], pa.int32())
+
+        return both.where(apart("sketch_a", "sketch_b") <= most).select("a", "b", "na", "nb")
 
     def _others(self, met: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different components that share a prefix n-gram and aren't a centre's, filtered inside tasks."""
@@ -256,7 +272,7 @@ class Join:
                 stop = len(key) if batch is None else int(np.searchsorted(key, key[-1]))  # keys are sorted; the last may go on
                 rest = table.slice(stop).to_batches()[0] if stop < len(key) else None
                 if stop:
-                    yield _near_pairs(table.slice(0, stop), num, den)
+                    yield from _near_pairs(table.slice(0, stop), num, den)
 
         sorted_ = keyed.repartition("key").sortWithinPartitions("key", "gram", "i", "j")
         return sorted_.mapInArrow(compare, "a long, b long, na int, nb int")
@@ -291,11 +307,12 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _near_pairs(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
+def _near_pairs(rows: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows of one key and different labels that sizes, positions and sketches allow; rows are sorted by key."""
     gram, i, j, own, sig, label = (rows[c].to_numpy() for c in ("gram", "i", "j", "own", "sig", "label"))
     n, pos = rows["n"].to_numpy().astype(np.int64), rows["pos"].to_numpy().astype(np.int64)
-    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
+    sketch = rows["sketch"].to_pylist()
+    short = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, SKETCH // 64)) for x in sketch])  # all folded alike
     last = np.append(np.flatnonzero((gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])), len(gram) - 1)
     end = last[np.searchsorted(last, np.arange(len(gram)))]
     found, at = set(), np.arange(len(gram))
@@ -310,11 +327,20 @@ def _near_pairs(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
         need = -(-num * (n[x] + n[y]) // (num + den))
         ok = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
         x, y, need = x[ok], y[ok], need[ok]
-        apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
-        ok = apart <= n[x] + n[y] - 2 * need
-        for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+        most = n[x] + n[y] - 2 * need
+        ok = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64) <= most
+        for p, q, limit in zip(x[ok].tolist(), y[ok].tolist(), most[ok].tolist(), strict=True):
             p, q = (p, q) if sig[p] < sig[q] else (q, p)
-            found.add((int(sig[p]), int(sig[q]), int(n[p]), int(n[q])))
+            pair = int(sig[p]), int(sig[q]), int(n[p]), int(n[q])
+            if pair not in found and (max(len(sketch[p]), len(sketch[q])) == SKETCH // 8 or sketch_distance(sketch[p], sketch[q]) <= limit):
+                found.add(pair)
+        if len(found) > 20_000:
+            yield _pair_batch(found)
+            found = set()
+    yield _pair_batch(found)
+
+
+def _pair_batch(found: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*sorted(found), strict=True)) or [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["a", "b", "na", "nb"])
 

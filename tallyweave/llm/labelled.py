@@ -40,10 +40,10 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     return rows.join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("text", "y", spare.alias("spare"))
 
 
-def summed(rows: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], list[np.ndarray]], tables: list[tuple[int, type]]) -> list[np.ndarray]:
-    """The sums over all tasks of the tables that gather makes of a task's batches, in one pass.
+def summed_chunks(rows: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], list[np.ndarray]], tables: list[tuple[int, type]]) -> DataFrame:
+    """chunk, values (packed float32): the sums over all tasks of the tables that gather makes of a task's batches, in one pass.
 
-    tables gives each one's width (a multiple of CHUNK) and kind of number.
+    tables gives each one's width (a multiple of CHUNK) and kind of number; their chunks are numbered in that order.
     """
     edges = np.append(0, np.cumsum([width for width, _ in tables])) // CHUNK
 
@@ -66,8 +66,14 @@ def summed(rows: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], list[np
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "values": [part.astype(np.float32).tobytes()]})
 
     packed = rows.mapInArrow(pack, "chunk int, kind string, at binary, values binary")
+    return packed.repartition("chunk").mapInArrow(add, "chunk int, values binary")
+
+
+def summed(rows: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], list[np.ndarray]], tables: list[tuple[int, type]]) -> list[np.ndarray]:
+    """The tables of summed_chunks, whole, on the driver."""
+    edges = np.append(0, np.cumsum([width for width, _ in tables])) // CHUNK
     out = [np.zeros(width, kind) for width, kind in tables]
-    for row in packed.repartition("chunk").mapInArrow(add, "chunk int, values binary").toLocalIterator():
+    for row in summed_chunks(rows, gather, tables).toLocalIterator():
         t = int(np.searchsorted(edges, row["chunk"], "right") - 1)
         k = row["chunk"] - edges[t]
         out[t][k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(row["values"], np.float32)
