@@ -1,10 +1,11 @@
 """License notices by conditional compression with zstandard.
 
-Candidate blocks are runs of lines that speak of licensing. A block is compressed alone and with
-each template as a raw-content dictionary; the fall in size says how much of its wording the
-template holds. The TOP templates by fall are confirmed by exact wording: the words that a best
-alignment leaves unmatched on either side. The fewest differences win; too many, or a difference in
-a version number, refuse the match.
+Candidate blocks are runs of sentences that speak of licensing or name a license. A block is
+compressed alone and with each template as a raw-content dictionary; the fall in size says how much
+of its wording the template holds. Every template whose fall reaches LEAST_FALL is confirmed by exact
+wording: the words that a best alignment leaves unmatched on either side. The fewest differences
+win; too many, or a difference in a version number, refuse the match. A run that fits no template as
+a whole is searched for its longest parts that do.
 """
 
 from __future__ import annotations
@@ -17,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Templates confirmed by wording; words that may differ, as a share of the block's; lines a block may bridge.
-TOP, MOST_DIFFERENT, GAP = 4, 0.3, 1
+#: Words that may differ, as a share of the block's; sentences a block may bridge.
+MOST_DIFFERENT, GAP = 0.3, 1
 #: Least fall in size, as a share of the block's own compressed size.
 LEAST_FALL = 0.15
 LEVEL = 3
 WORD = re.compile(r"\w+(?:[.\-]\w+)*", re.UNICODE)
-KEYWORDS = r"(?i)\blicen[sc]|copyright|\(c\) *(19|20)[0-9][0-9]|all rights reserved|permission is hereby|redistribution and use|without warranty|public domain|spdx-"
-_KEYWORD = re.compile(KEYWORDS.removeprefix("(?i)"), re.I)
+#: Every phrase of TEMPLATES holds one of these. Names that are ordinary words in some language count as written only.
+KEYWORDS = (
+    r"(?i:\blicen[sc]|copyright|\(c\) *(?:19|20)[0-9][0-9]|all rights reserved|permission is hereby|redistribution and use|without warrant|public domain|spdx-"
+    r"|\bgnu\b|\b[al]?gpl|\bmpl\b|\bcc0\b|\bcc[ -]by\b|creative commons|free software|unlicense)|\b(?:MIT|BSD|ISC|Apache)\b|Permission to use"
+    r"|(?i:distributed on an \W*as is)"
+)
+_KEYWORD = re.compile(KEYWORDS)
+SENTENCE = re.compile(r"\S.*?(?:(?<!\bv)(?<!\bver)[.!?](?=\s|$)|$)", re.I)  # "v. 2.0" goes on
 
 #: Wordings of public licenses. Notices first, then their opening terms.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -113,22 +120,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
-def candidate_blocks(text: str | None) -> Iterator[tuple[int, str]]:
-    """(start, block): lines with a licensing word, joined across at most GAP other lines; long lines count by sentence."""
-    units, at = [], 0
+def candidate_runs(text: str | None) -> Iterator[list[tuple[int, int]]]:
+    """(start, end) of the sentences with a licensing word, those at most GAP other ones apart in one list. A line's end ends a sentence."""
+    run, last, n, at = [], 0, 0, 0
     for line in (text or "").split("\n"):
-        if len(line) <= 600:
-            units.append((at, line))
-        else:
-            units += [(at + m.start(), m.group()) for m in re.finditer(r"\S.*?(?:[.!?](?=\s|$)|$)", line)]
+        for m in SENTENCE.finditer(line):
+            if _KEYWORD.search(m.group()):
+                if run and n - last > GAP + 1:
+                    yield run
+                    run = []
+                run.append((at + m.start(), at + m.end()))
+                last = n
+            n += 1
+        n += not line.strip()  # an empty line counts
         at += len(line) + 1
-    hits = [i for i, (_, unit) in enumerate(units) if _KEYWORD.search(unit)]
-    first = 0
-    for k, i in enumerate(hits):
-        if k + 1 == len(hits) or hits[k + 1] - i > GAP + 1:
-            start = units[hits[first]][0]
-            yield start, text[start : units[i][0] + len(units[i][1])]
-            first = k + 1
+    if run:
+        yield run
 
 
 def wording(block: list[str], phrase: list[str]) -> tuple[int, bool]:
@@ -166,23 +173,50 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         raw = {k: "\n".join(v).encode() for k, v in TEMPLATES.items()}
         self.with_template = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in raw.items()}
-        self.phrases = {k: [WORD.findall(p.lower()) for p in v] for k, v in TEMPLATES.items()}
+        self.phrases = {k: [(w, frozenset(w)) for w in (WORD.findall(p.lower()) for p in v)] for k, v in TEMPLATES.items()}
+        #: A block of more words than this differs too much from every phrase.
+        self.most_words = int(max(len(w) for v in self.phrases.values() for w, _ in v) / (1 - MOST_DIFFERENT))
+        self.known: dict[str, tuple[str, int, int, int] | None] = {}
 
     def match(self, block: str) -> tuple[str, int, int, int] | None:
         """license, compressed size alone and with its template, words that differ; None if no license fits."""
-        data, words = block.encode(), WORD.findall(block.lower())
-        size = len(self.alone.compress(data))
-        falls = sorted((len(c.compress(data)) - size, k) for k, c in self.with_template.items())
-        best = None
-        for fall, name in falls[:TOP]:
+        data, words = block.encode("utf-8", "replace"), WORD.findall(block.lower())
+        size, best = len(self.alone.compress(data)), None
+        for name, phrases in self.phrases.items():
+            fall = len(self.with_template[name].compress(data)) - size
             if -fall < LEAST_FALL * size:
-                break
-            for phrase in self.phrases[name]:
+                continue
+            for phrase, vocabulary in phrases:
+                if sum(w not in vocabulary for w in words) > MOST_DIFFERENT * len(words):
+                    continue  # each such word differs, whatever the alignment
                 differ, refused = wording(words, phrase)
                 if not refused and differ <= MOST_DIFFERENT * len(words) and (best is None or (differ, fall, name) < best):
                     best = differ, fall, name
         return best and (best[2], size, size + best[1], best[0])
 
+    def notices(self, text: str | None) -> Iterator[tuple]:
+        """start, n_chars and match of the notices in a text: of each run the longest parts that match, from its start on."""
+        for run in candidate_runs(text):
+            # Every sentence of a run has a word, so a longer part has more of them.
+            counts = [len(WORD.findall(text[a:b])) for a, b in run]
+            i = 0
+            while i < len(run):
+                j, words = i + 1, counts[i]
+                while j < len(run) and words + counts[j] <= self.most_words:
+                    words += counts[j]
+                    j += 1
+                while j > i:
+                    block = text[run[i][0] : run[j - 1][1]]
+                    if block not in self.known:
+                        if len(self.known) > 10_000:
+                            self.known.clear()
+                        self.known[block] = self.match(block)
+                    if self.known[block]:
+                        yield run[i][0], len(block), *self.known[block]
+                        break
+                    j -= 1
+                i = max(i + 1, j)
+
 
 @lru_cache(maxsize=1)
 def _scanner() -> Scanner:
@@ -198,17 +232,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, known = _scanner(), {}
+        scanner = _scanner()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for start, block in candidate_blocks(text):
-                    if block not in known:
-                        if len(known) > 10_000:
-                            known.clear()
-                        known[block] = scanner.match(block)
-                    if known[block]:
-                        rows.append((doc_id, start, len(block), *known[block]))
+                rows += [(doc_id, *notice) for notice in scanner.notices(text)]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "n_chars", "license", "plain_bytes", "with_template_bytes", "differing_words"])

@@ -333,3 +333,17 @@ def test_license_scan(spark, empty):
     assert {r["doc_id"]: r["license"] for r in got} == {0: "MIT", 1: "CC-BY-NC-4.0", 2: "CC-BY-4.0", 3: "Apache-2.0", 4: "GPL-3.0", 5: "GPL-2.0", 9: "MIT"}
     assert all(r["with_template_bytes"] < r["plain_bytes"] for r in got)
     assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_license_every_phrase_is_found(spark):
+    prose = "The river was high and the boats stayed in the harbour for another week. "
+    cases = [(name, phrase) for name, phrases in license_scan.TEMPLATES.items() for phrase in phrases]
+    assert all(list(license_scan.candidate_runs(phrase)) for _, phrase in cases)
+    texts = [phrase for _, phrase in cases] + [prose * 2 + phrase.rstrip(".") + ". " + prose * 2 for _, phrase in cases]
+    texts += ["Released under the MIT License. Licensed under CC BY 4.0.", "Er kam mit dem Zug. The gnu is an animal. An apache helicopter."]
+    got = license_scan.scan_licenses(make(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    n = len(cases)
+    assert {(r["doc_id"] % n, r["license"]) for r in got if r["doc_id"] < n} == {(i, name) for i, (name, _) in enumerate(cases)}
+    assert {(r["doc_id"] - n, r["license"]) for r in got if n <= r["doc_id"] < 2 * n} == {(i, name) for i, (name, _) in enumerate(cases)}
+    assert sorted((r["doc_id"] - 2 * n, r["license"]) for r in got if r["doc_id"] >= 2 * n) == [(0, "CC-BY-4.0"), (0, "MIT")]
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["n_chars"]].strip() for r in got)
