@@ -218,13 +218,13 @@ tops AS (SELECT *, max(composite) OVER (PARTITION BY id) - composite <= 0.02 AS
 cand AS (SELECT *, in_tie AND sum(CASE WHEN in_tie THEN 1 ELSE 0 END) OVER (PARTITION BY id) >= 2 AS tied FROM tops)"""
 
 
-@query("rank_candidates", _with(" SELECT id, payment_id, composite, CAST(rank AS INTEGER) AS rank, tied FROM cand", _PAIRS, _AGREE, _RANKED))
-def rank_candidates(spark, sf_dir):
+@query("rank_candidates_by_digits", _with(" SELECT id, payment_id, composite, CAST(rank AS INTEGER) AS rank, tied FROM cand", _PAIRS, _AGREE, _RANKED))
+def rank_candidates_by_digits(spark, sf_dir):
     return scoring.ranked(_digit_scored(spark, sf_dir)).select("id", "payment_id", "composite", "rank", "tied")
 
 
-@query("contested_payments", _with(" SELECT payment_id, count(*) AS claimants, string_agg(id, '+' ORDER BY id) AS invoice_ids FROM cand WHERE rank = 1 AND composite >= 0.7 GROUP BY 1 HAVING count(*) > 1", _PAIRS, _AGREE, _RANKED))
-def contested_payments(spark, sf_dir):
+@query("contested_payments_by_digits", _with(" SELECT payment_id, count(*) AS claimants, string_agg(id, '+' ORDER BY id) AS invoice_ids FROM cand WHERE rank = 1 AND composite >= 0.7 GROUP BY 1 HAVING count(*) > 1", _PAIRS, _AGREE, _RANKED))
+def contested_payments_by_digits(spark, sf_dir):
     return scoring.contested(scoring.ranked(_digit_scored(spark, sf_dir)), accept=0.7)
 
 
@@ -233,6 +233,16 @@ def _candidates(spark, sf_dir) -> DataFrame:
     return scoring.ranked(scoring.scored_pairs(scoring.candidate_pairs(inv, pay), inv, pay))
 
 
+@query("rank_candidates")
+def rank_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("id", "payment_id", F.round("composite", 9).alias("composite"), "rank", "tied")
+
+
+@query("contested_payments")
+def contested_payments(spark, sf_dir):
+    return scoring.contested(_candidates(spark, sf_dir))
+
+
 @query("candidates")
 def candidates(spark, sf_dir):
     gap = F.datediff("value_date", "invoice_date")
@@ -354,23 +364,28 @@ decided AS (SELECT i.id AS invoice_id, CASE WHEN hold_types IS NOT NULL THEN 'ho
   FROM inv i LEFT JOIN held h ON h.invoice_id = i.id LEFT JOIN cand c ON c.id = i.id AND c.rank = 1)"""
 
 
-def _decided(spark, sf_dir) -> DataFrame:
+def _decided_by_digits(spark, sf_dir) -> DataFrame:
     inv = ledger.invoices(spark, sf_dir)
     return holds.decisions(inv, scoring.ranked(_digit_scored(spark, sf_dir)), holds.document_holds(inv))
 
 
 @query("decisions_by_digits", _with(" SELECT * FROM decided", _PAIRS, _AGREE, _RANKED, _HOLDS, _DECIDED))
 def decisions_by_digits(spark, sf_dir):
-    return _decided(spark, sf_dir)
+    return _decided_by_digits(spark, sf_dir)
 
 
-@query("decisions")
-def decisions(spark, sf_dir):
+def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Invoices, their ranked candidates and the holds of all families."""
     inv = ledger.invoices(spark, sf_dir)
     ranked = _candidates(spark, sf_dir)
     spoken = holds.document_holds(inv).unionByName(holds.price_variance(ranked).select("invoice_id", F.lit("price_variance").alias("hold_type")))
     rest = holds.unmatched(inv, ranked, spoken).select("invoice_id", "hold_type")
-    return holds.decisions(inv, ranked, spoken.unionByName(rest).distinct())
+    return inv, ranked, spoken.unionByName(rest).distinct()
+
+
+@query("decisions")
+def decisions(spark, sf_dir):
+    return holds.decisions(*_run(spark, sf_dir))
 
 
 # --- evaluation ------------------------------------------------------------------------------
@@ -397,31 +412,42 @@ def _truth(spark, sf_dir) -> DataFrame:
     return inv.join(paid, "id", "left").select(F.col("id").alias("invoice_id"), "true_payment_ids", hold.alias("expected_hold"), stratum.alias("stratum"))
 
 
-def _judged(spark, sf_dir) -> DataFrame:
-    return review.scored_outcomes(ledger.invoices(spark, sf_dir), _truth(spark, sf_dir), _decided(spark, sf_dir))
+def _judged(spark, sf_dir, decided=decisions) -> DataFrame:
+    return review.scored_outcomes(ledger.invoices(spark, sf_dir), _truth(spark, sf_dir), decided(spark, sf_dir))
 
 
-@query("eval_totals", _with(" SELECT * FROM totals", *_JUDGED, _TOTALS))
-def eval_totals(spark, sf_dir):
-    return review.eval_totals(_judged(spark, sf_dir))
+def _evaluation(name: str, sql: str):
+    """Registers a query over the judged run: of the decisions, and by digits alone, which SQL can express."""
 
+    def add(f: Callable[[DataFrame], DataFrame]):
+        query(name)(lambda spark, sf_dir: f(_judged(spark, sf_dir)))
+        query(f"{name}_by_digits", sql)(lambda spark, sf_dir: f(_judged(spark, sf_dir, _decided_by_digits)))
+        return f
+
+    return add
 
-@query("eval_strata", _with(""" SELECT stratum, count(*) AS total, count(*) FILTER (decided) AS decided, count(*) FILTER (cleared AND NOT "right") AS false_clears,
+
+@_evaluation("eval_totals", _with(" SELECT * FROM totals", *_JUDGED, _TOTALS))
+def eval_totals(judged):
+    return review.eval_totals(judged)
+
+
+@_evaluation("eval_strata", _with(""" SELECT stratum, count(*) AS total, count(*) FILTER (decided) AS decided, count(*) FILTER (cleared AND NOT "right") AS false_clears,
   CAST(coalesce(sum(abs(gross_paise)) FILTER (cleared AND NOT "right"), 0) AS BIGINT) AS at_risk_paise, round(count(*) FILTER (decided) / CAST(count(*) AS DOUBLE), 9) AS coverage FROM judged GROUP BY 1""", *_JUDGED))
-def eval_strata(spark, sf_dir):
-    return review.eval_strata(_judged(spark, sf_dir))
+def eval_strata(judged):
+    return review.eval_strata(judged)
 
 
-@query("eval_hold_types", _with(""" SELECT hold_type, coalesce(expected, 0) AS expected, coalesce(proposed, 0) AS proposed, coalesce(hit, 0) AS hit, round(coalesce(hit / CAST(nullif(expected, 0) AS DOUBLE), 0), 9) AS recall,
+@_evaluation("eval_hold_types", _with(""" SELECT hold_type, coalesce(expected, 0) AS expected, coalesce(proposed, 0) AS proposed, coalesce(hit, 0) AS hit, round(coalesce(hit / CAST(nullif(expected, 0) AS DOUBLE), 0), 9) AS recall,
   round(coalesce(hit / CAST(nullif(proposed, 0) AS DOUBLE), 0), 9) AS precision FROM policy LEFT JOIN (SELECT expected_hold AS hold_type, count(*) AS expected, count(*) FILTER (list_contains(string_split(hold_types, '+'), expected_hold)) AS hit
   FROM judged WHERE expected_hold IS NOT NULL GROUP BY 1) e USING (hold_type) LEFT JOIN (SELECT hold_type, count(*) AS proposed FROM hold GROUP BY 1) h USING (hold_type)""", *_JUDGED))
-def eval_hold_types(spark, sf_dir):
-    return review.eval_hold_types(_judged(spark, sf_dir))
+def eval_hold_types(judged):
+    return review.eval_hold_types(judged)
 
 
-@query("floors", _with(" " + " UNION ALL ".join(f"SELECT '{k}' AS floor, CAST({v} AS DOUBLE) AS threshold, CAST({k} AS DOUBLE) AS observed, {k} {sign} {v} AS met FROM totals" for k, (sign, v) in review.FLOORS.items()), *_JUDGED, _TOTALS))
-def floors(spark, sf_dir):
-    return review.floors(review.eval_totals(_judged(spark, sf_dir)))
+@_evaluation("floors", _with(" " + " UNION ALL ".join(f"SELECT '{k}' AS floor, CAST({v} AS DOUBLE) AS threshold, CAST({k} AS DOUBLE) AS observed, {k} {sign} {v} AS met FROM totals" for k, (sign, v) in review.FLOORS.items()), *_JUDGED, _TOTALS))
+def floors(judged):
+    return review.floors(review.eval_totals(judged))
 
 
 @query("largest_remainder", _with(""", w AS (SELECT vendor_id AS key, count(*) AS weight FROM inv GROUP BY 1), s AS (SELECT key, weight * CAST(1000 AS DOUBLE) / sum(weight) OVER () AS share FROM w),
@@ -478,10 +504,14 @@ def age_buckets(spark, sf_dir):
     return review.age_buckets(_queue(spark, sf_dir), "1998-08-10")
 
 
-@query("run_diff", _with(" SELECT d.invoice_id, CASE WHEN m.payment_id IS NULL THEN 'unmatched' ELSE 'auto_clear' END AS before, d.action AS after FROM decided d JOIN inv i ON i.id = d.invoice_id LEFT JOIN (SELECT amount_paise, min(payment_id) AS payment_id FROM pay GROUP BY 1) m ON m.amount_paise = gross_paise WHERE d.action <> CASE WHEN m.payment_id IS NULL THEN 'unmatched' ELSE 'auto_clear' END", _PAIRS, _AGREE, _RANKED, _HOLDS, _DECIDED))
+@query("run_diff_by_digits", _with(" SELECT d.invoice_id, CASE WHEN m.payment_id IS NULL THEN 'unmatched' ELSE 'auto_clear' END AS before, d.action AS after FROM decided d JOIN inv i ON i.id = d.invoice_id LEFT JOIN (SELECT amount_paise, min(payment_id) AS payment_id FROM pay GROUP BY 1) m ON m.amount_paise = gross_paise WHERE d.action <> CASE WHEN m.payment_id IS NULL THEN 'unmatched' ELSE 'auto_clear' END", _PAIRS, _AGREE, _RANKED, _HOLDS, _DECIDED))
+def run_diff_by_digits(spark, sf_dir):
+    return review.run_diff(naive_exact(spark, sf_dir), _decided_by_digits(spark, sf_dir))
+
+
+@query("run_diff")
 def run_diff(spark, sf_dir):
-    naive = scoring.naive_exact(ledger.invoices(spark, sf_dir), ledger.payments(spark, sf_dir))
-    return review.run_diff(naive, _decided(spark, sf_dir))
+    return review.run_diff(naive_exact(spark, sf_dir), decisions(spark, sf_dir))
 
 
 @query("vendor_exposure", _with(" SELECT vendor_id, count(*) AS documents, CAST(sum(gross_paise) AS BIGINT) AS gross_paise, CAST(coalesce(sum(abs(gross_paise)) FILTER (id IN (SELECT invoice_id FROM hold)), 0) AS BIGINT) AS held_paise FROM inv GROUP BY 1", _HOLDS))

@@ -77,7 +77,7 @@ def released_holds(spark, sf_dir):
 
 
 @query(
-    "dossiers",
+    "dossiers_by_digits",
     c._with(
         """ SELECT h.invoice_id, i.vendor_id, h.hold_types, k.payment_id, k.composite, CAST(sum_gross AS BIGINT) AS vendor_gross_paise, alike - 1 AS alike
         FROM (SELECT invoice_id, string_agg(DISTINCT hold_type, '+' ORDER BY hold_type) AS hold_types FROM hold GROUP BY 1) h
@@ -85,10 +85,16 @@ def released_holds(spark, sf_dir):
         c._PAIRS, c._AGREE, c._RANKED, c._HOLDS,
     ),
 )
-def dossiers(spark, sf_dir):
+def dossiers_by_digits(spark, sf_dir):
     return workflow.dossiers(ledger.invoices(spark, sf_dir), c._holds(spark, sf_dir), scoring.ranked(c._digit_scored(spark, sf_dir)))
 
 
+@query("dossiers")
+def dossiers(spark, sf_dir):
+    inv, ranked, held = c._run(spark, sf_dir)
+    return workflow.dossiers(inv, held, ranked.withColumn("composite", F.round("composite", 9)))
+
+
 @query(
     "review_precision",
     """WITH cases AS (SELECT o_orderkey AS case_id, CAST(round(o_totalprice * 100) AS BIGINT) AS money_paise FROM orders), seen AS (SELECT event_id AS case_id, user_id AS reviewer FROM events WHERE event_type IN ('click', 'purchase') UNION ALL SELECT user_id, event_id FROM events),
@@ -104,7 +110,7 @@ def review_precision(spark, sf_dir):
 
 
 @query(
-    "regression_gate",
+    "regression_gate_by_digits",
     c._with(
         """, naive AS (SELECT i.id AS invoice_id, m.payment_id FROM inv i LEFT JOIN (SELECT amount_paise, min(payment_id) AS payment_id FROM pay GROUP BY 1) m ON m.amount_paise = i.gross_paise),
         base AS (SELECT count(*) FILTER (payment_id IS NOT NULL) AS cleared, count(*) FILTER (payment_id IS NOT NULL AND payment_id IS DISTINCT FROM true_payment_ids) AS wrong, count(*) AS total FROM naive JOIN truth USING (invoice_id))
@@ -114,11 +120,20 @@ def review_precision(spark, sf_dir):
         *c._JUDGED, c._TOTALS,
     ),
 )
+def regression_gate_by_digits(spark, sf_dir):
+    return _gate(spark, sf_dir, c._judged(spark, sf_dir, c._decided_by_digits))
+
+
+@query("regression_gate")
 def regression_gate(spark, sf_dir):
+    return _gate(spark, sf_dir, c._judged(spark, sf_dir))
+
+
+def _gate(spark, sf_dir, judged):
     inv, truth = ledger.invoices(spark, sf_dir), c._truth(spark, sf_dir)
     naive = scoring.naive_exact(inv, ledger.payments(spark, sf_dir)).select("invoice_id", "action", "payment_id", F.lit(None).cast("string").alias("hold_types"), (F.col("action") != "auto_clear").alias("requires_human"))
     base = review.eval_totals(review.scored_outcomes(inv, truth, naive))
-    return workflow.regression_gate(base, review.eval_totals(c._judged(spark, sf_dir)))
+    return workflow.regression_gate(base, review.eval_totals(judged))
 
 
 @query(
