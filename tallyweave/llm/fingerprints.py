@@ -87,11 +87,12 @@ def within_radius(entries: DataFrame, queries: DataFrame, radius: int) -> DataFr
     Pairs are between fingerprints, each once, itself included; documents join back by fp. Null
     fingerprints match nothing.
     """
-    size = math.ceil(BITS / (radius + 1))
-    bits = lambda fp, k: F.substring(F.concat(*[F.lpad(F.conv(F.substring(F.hex(fp), 8 * i + 1, 8), 16, 2), 32, "0") for i in range(4)]), k * size + 1, size)
+    blocks = min(radius, BITS) + 1  # one more than bits may differ, so one block is equal in any pair within the radius
+    edges = [k * BITS // blocks for k in range(blocks + 1)]
+    bits = lambda fp, k: F.substring(F.concat(*[F.lpad(F.conv(F.substring(F.hex(fp), 8 * i + 1, 8), 16, 2), 32, "0") for i in range(4)]), edges[k] + 1, edges[k + 1] - edges[k])
 
     def table(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(k).alias("block"), bits(F.col("fp"), k).alias("value")) for k in range(math.ceil(BITS / size))])
+        keys = F.array(*[F.struct(F.lit(k).alias("block"), bits(F.col("fp"), k).alias("value")) for k in range(blocks)])
         return df.select("fp").where("fp IS NOT NULL").distinct().select(F.col("fp").alias(name), F.explode(keys).alias("key"))
 
     met = table(queries, "query").join(table(entries, "entry"), "key").withColumn("distance", hamming(F.col("query"), F.col("entry")))
