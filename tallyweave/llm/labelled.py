@@ -26,7 +26,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int = BOUND) -> DataFrame:
-    """text, y, spare of the documents with a label and keep(doc_id) true; every eighth of them, by hash, is spare.
+    """text, y, spare, doc_id of the documents with a label and keep(doc_id) true; every eighth of them, by hash, is spare.
 
     Null ids and null labels don't count; an id labelled more than once has its largest label.
     """
@@ -37,7 +37,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumnRenamed("doc_id", "labelled_id")
     spare = F.pmod(F.xxhash64(F.lit(12), "labelled_id"), F.lit(8)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("text", "y", spare.alias("spare"))
+    return rows.join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("text", "y", spare.alias("spare"), "doc_id")
 
 
 def summed_chunks(rows: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], list[np.ndarray]], tables: list[tuple[int, type]]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Features are the words, runs of marks, pairs of neighbours and a sign for a word right after itself,
 hashed to WIDTH slots; a document's vector has the square roots of its counts, scaled to length 1.
-Each task trains by FTRL-proximal updates, one document at a time, over its own labelled rows; the
-weights are averaged by rows, and a second round starts from that average. Scores are sparse dot
-products. Weights have a fixed width, so the model that is broadcast is 4 MB whatever the corpus.
+The bounded labelled sample is dealt over SHARES fixed shares by a hash of doc_id and sorted in each,
+so that models depend neither on the input's partitions nor on the number of tasks. Each share trains
+by FTRL-proximal updates, one document at a time; the weights are averaged by rows, and a second
+round starts from that average. Scores are sparse dot products. Weights have a fixed width, so the model that is broadcast is 4 MB whatever the corpus.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.labelled import BOUND, CHUNK, fold, labelled_texts, summed
-from tallyweave.llm.textblocks import WORDS_AND_MARKS, mix, pieces, word_hashes
+from tallyweave.llm.textblocks import WORDS_AND_MARKS, cut, mix, pieces, word_hashes
 
 BITS = 20
 WIDTH = 1 << BITS
 ROUNDS = 2
+#: Shares of the labelled sample that train apart, each with up to BOUND / SHARES rows, about.
+SHARES = 16
 #: FTRL-proximal: learning rate, its offset, and the two regularisers.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
 THRESHOLD = 0.3
@@ -70,22 +73,34 @@ class Ftrl:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> np.ndarray:
     """Weights from the labelled documents outside the held-out fold; about bound of them at most."""
-    rows = labelled_texts(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD_OUT, bound).select("text", "y")
+    rows = labelled_texts(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD_OUT, bound)
+    turn = F.xxhash64(F.lit(13), "doc_id")
+    rows = rows.select("text", "y", F.pmod(turn, F.lit(SHARES)).cast("int").alias("part"), turn.alias("turn"), "doc_id")
+    rows = cut(rows.repartition(SHARES, "part").sortWithinPartitions("part", "turn", "doc_id", "text").select("text", "y", "part"))
     context, weights = docs.sparkSession.sparkContext, np.zeros(WIDTH, np.float32)
     for _ in range(ROUNDS):
         sent = context.broadcast(weights)
 
         def train(batches: Iterator[pa.RecordBatch], sent=sent) -> list[np.ndarray]:
-            model, seen = Ftrl(sent.value), 0
+            total, share = np.zeros(WIDTH), np.zeros(CHUNK)
+            model, part, seen = None, None, 0
+
+            def finish() -> None:
+                if seen:
+                    total[:] += model.weights(slice(None)) * seen
+                    share[0] += seen
+
             for batch in batches:
                 for a, b in pieces(batch.column(0)):
                     slots, values, at = features(batch.column(0)[a:b])
-                    for i, y in enumerate(batch.column(1)[a:b].to_pylist()):
+                    for i, (y, own) in enumerate(zip(batch.column(1)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), strict=True)):
+                        if own != part:  # a task may hold several shares
+                            finish()
+                            model, part, seen = Ftrl(sent.value), own, 0
                         model.update(slots[at[i] : at[i + 1]], values[at[i] : at[i + 1]], float(y))
-                seen += batch.num_rows
-            share = np.zeros(CHUNK)
-            share[0] = seen
-            return [(model.weights(slice(None)) * seen).astype(np.float32), share] if seen else []
+                        seen += 1
+            finish()
+            return [total.astype(np.float32), share] if share[0] else []
 
         total, share = summed(rows, train, [(WIDTH, np.float32), (CHUNK, np.float32)])
         weights = (total / max(share[0], 1)).astype(np.float32)
