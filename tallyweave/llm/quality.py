@@ -2,7 +2,7 @@
 
 Features are the words, runs of marks, pairs of neighbours and a sign for a word right after itself,
 hashed to WIDTH slots; a document's vector has the square roots of its counts, scaled to length 1.
-The bounded labelled sample is dealt over SHARES fixed shares by a hash of doc_id and sorted in each,
+The bounded labelled sample is dealt over up to SHARES shares by a hash of doc_id and sorted in each,
 so that models depend neither on the input's partitions nor on the number of tasks. Each share trains
 by FTRL-proximal updates, one document at a time; the weights are averaged by rows, and a second
 round starts from that average. Scores are sparse dot products. Weights have a fixed width, so the model that is broadcast is 4 MB whatever the corpus.
@@ -23,8 +23,8 @@ from tallyweave.llm.textblocks import WORDS_AND_MARKS, cut, mix, pieces, word_ha
 BITS = 20
 WIDTH = 1 << BITS
 ROUNDS = 2
-#: Shares of the labelled sample that train apart, each with up to BOUND / SHARES rows, about.
-SHARES = 16
+#: Shares of the labelled sample that train apart, at most, and the labels that each has at least; up to BOUND / SHARES, about.
+SHARES, PER_SHARE = 16, 4096
 #: FTRL-proximal: learning rate, its offset, and the two regularisers.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
 THRESHOLD = 0.3
@@ -73,10 +73,12 @@ class Ftrl:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> np.ndarray:
     """Weights from the labelled documents outside the held-out fold; about bound of them at most."""
-    rows = labelled_texts(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD_OUT, bound)
+    keep = fold(F.col("doc_id"), FOLDS) != HELD_OUT
+    shares = max(1, min(SHARES, min(labels.where(keep & F.col("quality").isNotNull()).count(), bound) // PER_SHARE))
+    rows = labelled_texts(docs, labels, "quality", keep, bound)
     turn = F.xxhash64(F.lit(13), "doc_id")
-    rows = rows.select("text", "y", F.pmod(turn, F.lit(SHARES)).cast("int").alias("part"), turn.alias("turn"), "doc_id")
-    rows = cut(rows.repartition(SHARES, "part").sortWithinPartitions("part", "turn", "doc_id", "text").select("text", "y", "part"))
+    rows = rows.select("text", "y", F.pmod(turn, F.lit(shares)).cast("int").alias("part"), turn.alias("turn"), "doc_id")
+    rows = cut(rows.repartition(shares, "part").sortWithinPartitions("part", "turn", "doc_id", "text").select("text", "y", "part"))
     context, weights = docs.sparkSession.sparkContext, np.zeros(WIDTH, np.float32)
     for _ in range(ROUNDS):
         sent = context.broadcast(weights)

@@ -7,7 +7,8 @@ import numpy as np
 from tallyweave.llm import quality
 
 
-def test_quality_scores_agree_for_any_partitions(spark):
+def test_quality_scores_agree_for_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PER_SHARE", 60)  # several shares
     rng = random.Random(5)
     docs = [(i, " ".join(rng.choice("a b c d e f g h".split()) + ("!!" if i % 3 else "") for _ in range(30))) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int")
