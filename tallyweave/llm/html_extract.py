@@ -5,8 +5,9 @@ a ratio of its characters (those in links don't count) to its tags. Ratios are s
 Gaussian kernel along the page and split in two clusters at a threshold that moves to the middle of
 the clusters' means until it rests. Lines of the upper cluster that aren't in a menu, header,
 footer, sidebar, notice, advert, form or comments mark the content. An article or main element that
-holds most of the marked text is the content region; otherwise it is the marked lines and the
-unmarked ones between them.
+holds most of the marked text is the content region; otherwise it is the marked lines, the unmarked
+ones between them, and those next to them in the same parent. Names of generic wrappers around article
+and main elements don't count as such; those in more named wrappers than others are boilerplate.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
+#: Characters that a title alone doesn't have.
+TITLE = 100
 #: Elements that begin a line; that hold no prose; that are boilerplate; that are void.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT = frozenset("head title script style noscript template iframe object svg math audio video canvas select option textarea button".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|replies|cookies?|consent|gdpr|disclaimer|notice|footer|header|masthead|menu|nav\w*|newsletter|subscribe|popup|modal|promo\w*|related|recommend\w*|share|sharing|social|sidebar|sponsor\w*|widget|toolbar|pagination|pager)(?:$|[\s_-])", re.I)
+MARKED = re.compile(r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|replies|cookies?|consent|gdpr|disclaimer|notice|footer|header|masthead|menu|nav\w*|newsletter|subscribe|popup|modal|promo\w*|related|recommend\w*|share|sharing|social|sidebar|sponsor\w*|widget|toolbar|pagination|pager)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 CLOSES_P = BLOCKS - {"html", "body"}
+IN_HEAD = frozenset("base basefont bgsound head html link meta title noscript noframes style script template".split())
 
 
 class Lines(HTMLParser):
@@ -36,23 +40,40 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, boilerplate, region
+        self.lines: list[tuple[str, int, int, bool, int, int, int]] = []
+        self.stack: list[tuple[str, bool, bool, int, int, bool, int, int]] = []  # tag, silent, boilerplate, region, named wrappers around it, boilerplate by more than a name, named wrappers, number
         self.parts: list[str] = []
-        self.plain = self.tags = self.links = self.regions = 0
+        self.plain = self.tags = self.links = self.regions = self.elements = 0
 
-    def _top(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0)
+    def _top(self) -> tuple[bool, bool, int, int, bool, int]:
+        return self.stack[-1][1:7] if self.stack else (False, False, 0, 0, False, 0)
+
+    def _parent(self) -> int:
+        """The number of the element that holds the innermost line-making one."""
+        blocks = (x[7] for x in reversed(self.stack) if x[0] in BLOCKS)
+        next(blocks, 0)
+        return next(blocks, 0)
+
+    def _leave_head(self, tag: str | None) -> None:
+        """Closes a head whose end tag is left out, before an element or text that it can't hold."""
+        if tag in IN_HEAD or not any(x[0] == "head" for x in self.stack):
+            return
+        at = next(i for i, x in enumerate(self.stack) if x[0] == "head")
+        above = [x[0] for x in self.stack[at + 1 :]]
+        if not above or (tag in BLOCKS and "template" not in above):
+            self.parts, self.plain = [], 0
+            del self.stack[at:]
 
     def cut(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            _, boilerplate, region = self._top()
-            self.lines.append((text, self.plain, self.tags, boilerplate, region))
+            _, boilerplate, region, level, _, _ = self._top()
+            self.lines.append((text, self.plain, self.tags, boilerplate, region, level, self._parent()))
             self.tags = 0
         self.parts, self.plain = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        self._leave_head(tag)
         if tag in BLOCKS:
             self.cut()
             if tag in CLOSES_P:
@@ -63,15 +84,23 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        silent, boilerplate, region = self._top()
+        silent, boilerplate, region, level, firm, named = self._top()
         names = " ".join(v for k, v in attrs if v and k in ("class", "id"))
         role = next((v for k, v in attrs if k == "role"), None)
-        boilerplate |= tag not in ("html", "body", "article", "main") and (tag in BOILERPLATE or role in ROLES or bool(names and MARKED.search(names)))
-        if tag in ("article", "main") and not region:
-            self.regions += 1
-            region = self.regions
+        if tag in ("article", "main"):
+            if not region or (boilerplate and not firm):  # inside a wrapper of another region it is a region of its own
+                self.regions += 1
+                region = self.regions
+                level = named
+            boilerplate = firm
+        elif tag not in ("html", "body"):
+            firm |= tag in BOILERPLATE or role in ROLES
+            marked = bool(names and MARKED.search(names))
+            boilerplate |= firm or marked
+            named += marked
         self.links += tag == "a"
-        self.stack.append((tag, silent or tag in SILENT or any(k == "hidden" for k, _ in attrs), boilerplate, region))
+        self.elements += 1
+        self.stack.append((tag, silent or tag in SILENT or any(k == "hidden" for k, _ in attrs), boilerplate, region, level, firm, named, self.elements))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -89,6 +118,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._leave_head(None)
         if not self._top()[0]:
             self.parts.append(data)
             self.plain += 0 if self.links > 0 else len(data)
@@ -124,11 +155,17 @@ def main_text(html: str | None) -> str:
     page.cut()
     if not page.lines:
         return ""
-    texts, plain, tags, boilerplate, region = zip(*page.lines, strict=True)
-    boilerplate, region = np.array(boilerplate), np.array(region)
+    texts, plain, tags, boilerplate, region, level, parent = zip(*page.lines, strict=True)
+    boilerplate, region, level = np.array(boilerplate), np.array(region), np.array(level)
     own = np.log1p(np.array(plain) / np.maximum(np.array(tags), 1))
     ratio = smoothed(own)
-    marked = (np.maximum(ratio, own) >= _threshold(ratio)) & ~boilerplate  # a dense line at a region's edge counts by its own ratio
+    dense = np.maximum(ratio, own) >= _threshold(ratio)
+    own_region = (region > 0) & ~boilerplate
+    if own_region.any():
+        size = np.bincount(level, weights=np.array([len(t) for t in texts]) * own_region)  # more than a title counts
+        least = np.flatnonzero((size >= TITLE) | (np.bincount(level, weights=own_region & dense) > 0))
+        boilerplate |= (region > 0) & (level > (least.min() if len(least) else level[own_region].min()))
+    marked = dense & ~boilerplate  # a dense line at a region's edge counts by its own ratio
     if boilerplate.all():
         return ""
     if not marked.any():
@@ -141,7 +178,12 @@ def main_text(html: str | None) -> str:
     else:
         at = np.flatnonzero(marked)
         keep = np.zeros(len(texts), bool)
-        keep[at[0] : at[-1] + 1] = True
+        first, last = int(at[0]), int(at[-1])
+        while first and parent[first - 1] == parent[first] and not boilerplate[first - 1]:
+            first -= 1
+        while last + 1 < len(texts) and parent[last + 1] == parent[last] and not boilerplate[last + 1]:
+            last += 1
+        keep[first : last + 1] = True
         keep &= ~boilerplate
     return " ".join(t for t, k in zip(texts, keep, strict=True) if k)
 
