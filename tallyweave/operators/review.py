@@ -66,13 +66,14 @@ def floors(totals: DataFrame) -> DataFrame:
 
 
 def largest_remainder(weights: DataFrame, n: int) -> DataFrame:
-    """key, seats: n shared out by weight; whole shares first, the rest to the largest remainders."""
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = F.col("weight") * n / F.sum("weight").over(whole)
-    rows = weights.withColumn("base", F.floor(share)).withColumn("rest", F.round(share - F.floor(share), 9))
-    turn = F.row_number().over(Window.orderBy(F.col("rest").desc(), "key"))
-    left = n - F.sum("base").over(whole)
-    return rows.select("key", (F.col("base") + (turn <= left).cast("int")).alias("seats"))
+    """key, seats: n shared out by weight; whole shares first, the rest to the largest remainders. Keys are distinct."""
+    share = F.col("weight") * n / F.col("total")
+    rows = weights.crossJoin(F.broadcast(weights.agg(F.sum("weight").alias("total"))))
+    rows = rows.select("key", F.floor(share).alias("base"), F.round(share - F.floor(share), 9).alias("rest"))
+    spare = max(n - (rows.agg(F.sum("base")).first()[0] or 0), 0)  # n at most
+    more = rows.orderBy(F.col("rest").desc(), "key").limit(spare).select(F.col("key").alias("with_more"), F.lit(1).alias("more"))
+    rows = rows.join(F.broadcast(more), F.col("key").eqNullSafe(F.col("with_more")), "left")
+    return rows.select("key", (F.col("base") + F.coalesce("more", F.lit(0))).alias("seats"))
 
 
 # --- queue -----------------------------------------------------------------------------------
