@@ -19,7 +19,7 @@ def ascii_lower(x):
 
 
 def hashed(words):
-    return dict(zip(words, textblocks.word_hashes(pa.array(list(words)), toxicity._LETTERS)[0].view(np.int64).tolist()))
+    return dict(zip(words, (textblocks.word_hashes(pa.array(list(words)), toxicity._LETTERS)[0] & np.uint64((1 << 48) - 1)).view(np.int64).tolist()))
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def brute(rows):
         words = WORD.findall(ascii_lower(text or ""))
         for a, b in zip([None, *words], words):
             lefts[b, y].add(a)
-            shared[b].add(a)
+            shared[b].add((a, y))
         texts.update((w, y) for w in set(words))
     return {w: (len(s), *(min(len(lefts[w, y]), texts[w, y]) for y in (0, 1))) for w, s in shared.items()}
 
