@@ -5,6 +5,7 @@ marks and what follows up to the next mark), so words are encoded apart, each di
 All distinct words of a block lie in flat numpy symbol arrays. A round finds each word's minimum
 pair rank (a segmented minimum), merges the leftmost pair of that rank in all words at once,
 compacts the arrays, and looks up the two pairs beside each merge; words without a pair leave.
+Long words have rounds of their own that merge all pairs of the least rank, the leftmost first.
 Results equal the sentencepiece library's, which the tests compare.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = np.int32(2**31 - 1)
-#: Words of more symbols are merged through a heap, one word at a time: rounds there would be as many as symbols.
+#: Words of more symbols have rounds of their own, which merge all pairs of a rank: together with others', rounds would be as many as symbols.
 LONG = 512
 #: Distinct words kept between blocks, and characters in a block.
 KEPT, BLOCK_CHARS = 300_000, 4_000_000
@@ -66,7 +67,9 @@ class PieceModel:
                 left, right = self._symbol(piece[:k]), self._symbol(piece[k:])
                 if left is not None and right is not None:
                     pairs[left, right] = order[float(scores[at])], at
-        self._pairs = pairs
+        own = {i: order[float(scores[i])] for p, i in normal.items() if len(p) > 1}
+        #: Ranks of pieces that are part of a pair of no higher rank.
+        self._unsafe = {own[x] for pair, (rank, _) in pairs.items() for x in pair if x in own and rank <= own[x]}
         self._span = self.size + 0x110000
         keys = np.array([a * self._span + b for a, b in pairs], np.int64)
         by = np.argsort(keys)
@@ -95,25 +98,62 @@ class PieceModel:
         hit = self._keys[at] == key
         return np.where(hit, self._ranks[at], _NONE), self._made[at]
 
-    def _long(self, symbols: list[int]) -> list[int]:
-        """One long word: a heap of pairs by rank and place, with links past merged symbols."""
-        ahead, back = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        heap = [(*self._pairs[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in self._pairs]
-        heap = [(rank, i, made, a, b) for rank, made, i, a, b in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, made, a, b = heapq.heappop(heap)
-            j = ahead[i] if symbols[i] == a else len(symbols)
-            if j >= len(symbols) or symbols[j] != b:
+    def _long(self, symbols: np.ndarray) -> np.ndarray:
+        """One long word, a rank a round: all its pairs of the least rank merge at once, the leftmost of overlapping ones.
+
+        That is the order of single merges as long as no merge makes a pair of no higher rank; a round
+        ends with the first one that does. Symbols stay in place, linked past merged ones, so a round
+        costs what it merges.
+        """
+        n = len(symbols)
+        symbols, ahead, back = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            rank, _ = self._look(symbols[at], symbols[ahead[at]])
+            at, rank = at[rank < _NONE], rank[rank < _NONE]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            first = np.flatnonzero(np.diff(rank, prepend=-1))
+            for r, own in zip(rank[first].tolist(), np.split(at, first[1:]), strict=True) if len(at) else ():
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(own)
+
+        wait(np.arange(n - 1))
+        while ranks:
+            least = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(least)))
+            at = at[(symbols[at] >= 0) & (ahead[at] < n)]
+            rank, made = self._look(symbols[at], symbols[ahead[at]])
+            at, made = at[rank == least], made[rank == least]  # others merged meanwhile
+            if not len(at):
                 continue
-            symbols[i], symbols[j] = made, -1
-            ahead[i] = ahead[j]
-            if ahead[j] < len(symbols):
-                back[ahead[j]] = i
-            for x, y in ((back[i], i), (i, ahead[i])):
-                if x >= 0 and y < len(symbols) and (p := (symbols[x], symbols[y])) in self._pairs:
-                    heapq.heappush(heap, (self._pairs[p][0], x, self._pairs[p][1], *p))
-        return [s for s in symbols if s >= 0]
+            number = np.arange(len(at))
+            begins = np.append(True, ahead[at[:-1]] != at[1:])  # a run of overlapping pairs
+            take = (number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0
+            if least in self._unsafe and len(at) > 1:  # up to the first merge that makes a pair of no higher rank
+                own, new = at[take], made[take].astype(np.int64)
+                right, left = ahead[ahead[own]], back[own]
+                beside = [np.where(left >= 0, self._look(symbols[left], new)[0], _NONE), np.where(right < n, self._look(new, symbols[np.minimum(right, n - 1)])[0], _NONE)]
+                beside.append(np.append(np.where(right[:-1] == own[1:], self._look(new[:-1], new[1:])[0], _NONE), _NONE))
+                early = np.flatnonzero(np.minimum.reduce(beside) <= least)
+                if len(early):
+                    last = own[early[0]]
+                    if (rest := at[at > last]).size:
+                        waiting[least] = [rest]
+                        heapq.heappush(ranks, least)
+                    take &= at <= last
+            at, made = at[take], made[take]
+            gone = ahead[at]
+            symbols[at], symbols[gone] = made, -1
+            ahead[at] = ahead[gone]
+            inner = ahead[at] < n
+            back[ahead[at[inner]]] = at[inner]
+            wait(np.unique(np.concatenate([back[at][back[at] >= 0], at[inner]])))
+        return symbols[symbols >= 0]
 
     def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and their number per word."""
@@ -127,9 +167,9 @@ class PieceModel:
         if (lens > LONG).any():
             at = np.cumsum(lens) - lens
             for w in np.flatnonzero(lens > LONG).tolist():
-                got = self._long(symbols[at[w] : at[w] + lens[w]].tolist())
+                got = self._long(symbols[at[w] : at[w] + lens[w]])
                 done_words.append(np.full(len(got), w))
-                done_symbols.append(np.array(got, np.int64))
+                done_symbols.append(got)
             short = lens <= LONG
             symbols, owner, lens = symbols[np.repeat(short, lens)], owner[short], lens[short]
         starts = np.cumsum(lens) - lens

@@ -3,7 +3,7 @@
 A huge text is encoded in overlapping chunks with offsets. Neighbours are spliced at a boundary
 that both encodings have and that is proven stable: no vocabulary piece holds the two characters
 beside it in a row, so no merge can ever cross it and each side's tokens don't depend on the other.
-If an overlap has none, it is widened; if it reaches the chunk's start, the chunk grows instead.
+If an overlap has none, it is widened; if it reaches the chunk's start, the chunk doubles instead.
 """
 
 from __future__ import annotations
@@ -52,8 +52,9 @@ class Counter:
             while True:
                 start = max(begin, end - overlap)
                 stop = min(len(text), end + self.chunk)
-                if start == begin:  # no boundary in the whole chunk: encode it together with the next
-                    tokens, end = self.starts(text, begin, stop), stop
+                if start == begin:  # no boundary in the whole chunk: encode twice as much from its start, so all growth costs what the last does
+                    end = min(len(text), max(stop, 2 * end - begin))
+                    tokens = self.starts(text, begin, end)
                     break
                 following = self.starts(text, start, stop)
                 common = np.intersect1d(tokens[tokens > max(start, since)], following)

@@ -209,6 +209,18 @@ def test_codec_equals_library(spark, empty):
     assert piece_codec.codec_digests(empty, tokenizer_path()).count() == 0
 
 
+def test_long_words_equal_library():
+    import sentencepiece
+
+    library, model, rng = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path()), piece_codec.load(tokenizer_path()), random.Random(6)
+    bits = ["ab", "the", "01", "aeiou", "./:-_", "éàü", "日本", "ing", "tion", "aaaa", "http", "www", "😀"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(520, 4000))) for some in (rng.sample(bits, rng.randint(1, 5)) for _ in range(40))]
+    texts += ["a" * 200_000, "".join(rng.choice(bits) for _ in range(30_000))]
+    for text in texts:
+        assert model.encode([text])[0].tolist() == library.encode(text)
+    assert model._unsafe  # there are pieces whose merges have to be watched
+
+
 def test_decode_of_any_ids_equals_library():
     import sentencepiece
 
@@ -223,7 +235,7 @@ def test_token_counts_equal_library(chunk, overlap):
     import sentencepiece
 
     library, counter = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path()), token_counts.Counter(tokenizer_path(), chunk, overlap)
-    for text in [*odd_texts(), "word and " * 4000]:
+    for text in [*odd_texts(), "word and " * 4000, "a" * 60_000, "ab" * 20_000 + " " + "a" * 5000]:
         assert counter.long(text or "") == len(library.encode(text or ""))
     assert chunk > 1000 or counter.widened > 0
 
