@@ -32,27 +32,31 @@ def tax_scheme() -> Column:
     return F.when(intra & inter, "mixed").when(intra, "intra").when(inter, "inter").otherwise("exempt")
 
 
-def established_scheme(invoices: DataFrame) -> DataFrame:
-    """Each invoice's scheme and the one that all other documents of its vendor agree on, if they do."""
-    rows = invoices.select("id", "vendor_id", tax_scheme().alias("scheme"))
+def _with_scheme(invoices: DataFrame) -> DataFrame:
+    """invoices with their tax scheme and the one that all other documents of the vendor agree on, if they do."""
+    rows = invoices.withColumn("scheme", tax_scheme())
     counts = rows.where("scheme IN ('intra', 'inter')").groupBy("vendor_id").agg(F.count_if(F.col("scheme") == "intra").alias("intra"), F.count_if(F.col("scheme") == "inter").alias("inter"))
     met = rows.join(counts, "vendor_id", "left").fillna(0, ["intra", "inter"])
     intra, inter = F.col("intra") - (F.col("scheme") == "intra").cast("int"), F.col("inter") - (F.col("scheme") == "inter").cast("int")
-    return met.select(F.col("id").alias("invoice_id"), "scheme", F.when((intra > 0) & (inter == 0), "intra").when((inter > 0) & (intra == 0), "inter").alias("established"))
+    return met.withColumn("established", F.when((intra > 0) & (inter == 0), "intra").when((inter > 0) & (intra == 0), "inter")).drop("intra", "inter")
+
+
+def established_scheme(invoices: DataFrame) -> DataFrame:
+    """Each invoice's scheme and the one that all other documents of its vendor agree on, if they do."""
+    return _with_scheme(invoices).select(F.col("id").alias("invoice_id"), "scheme", "established")
 
 
-def tax_deltas(invoices: DataFrame) -> DataFrame:
-    """Two tax deltas of each document: parts to total, and total to the nearest statutory rate of net."""
+def with_tax_deltas(invoices: DataFrame) -> DataFrame:
+    """invoices with two tax deltas, parts to total and total to the nearest statutory rate of net, and what was due."""
     parts = F.col("igst") + F.col("cgst") + F.col("sgst") + F.col("cess") - F.col("tax_total")
     due = F.abs("tax_total") - F.abs("cess")
     rate = lambda r: F.floor(F.abs("net_paise") * r / 100 + 0.5)
     nearest = F.array_min(F.array(*[F.struct(F.abs(due - rate(r)).alias("gap"), F.lit(i).alias("turn"), rate(r).alias("due")) for i, r in enumerate((0, 5, 12, 18, 28))]))["due"]
-    return invoices.select("id", parts.alias("parts_delta"), F.abs("tax_total").alias("parts_due"), F.when(F.col("net_paise") != 0, due - nearest).otherwise(0).alias("rate_delta"), nearest.alias("rate_due"))
+    return invoices.select("*", parts.alias("parts_delta"), F.abs("tax_total").alias("parts_due"), nearest.alias("rate_due")).withColumn("rate_delta", F.when(F.col("net_paise") != 0, due - F.col("rate_due")).otherwise(0))
 
 
-def tax_variance(invoices: DataFrame) -> DataFrame:
-    """Percentage breaches: mixed heads, uneven halves, a lone inter-state document, or a delta over 1% of what was due."""
-    rows = tax_deltas(invoices).join(invoices.select("id", "cgst", "sgst"), "id").join(established_scheme(invoices).withColumnRenamed("invoice_id", "id"), "id")
+def _tax_reasons() -> Column:
+    """What of a document's tax (with_tax_deltas, scheme, established) is off."""
     over = lambda d, due: F.abs(d) * 10_000 > due * 100
     marks = [
         F.when(F.col("scheme") == "mixed", "mixed_heads"),
@@ -61,13 +65,19 @@ def tax_variance(invoices: DataFrame) -> DataFrame:
         F.when(over(F.col("parts_delta"), F.col("parts_due")), "parts_off_total"),
         F.when(over(F.col("rate_delta"), F.col("rate_due")), "total_off_rate"),
     ]
-    return rows.select(F.col("id").alias("invoice_id"), F.array_join(F.array_compact(F.array(*marks)), "+").alias("reasons")).where("reasons <> ''")
+    return F.array_compact(F.array(*marks))
+
+
+def tax_variance(invoices: DataFrame) -> DataFrame:
+    """Percentage breaches: mixed heads, uneven halves, a lone inter-state document, or a delta over 1% of what was due."""
+    rows = with_tax_deltas(_with_scheme(invoices))
+    return rows.select(F.col("id").alias("invoice_id"), F.array_join(_tax_reasons(), "+").alias("reasons")).where("reasons <> ''")
 
 
 def tax_amount_range(invoices: DataFrame) -> DataFrame:
     """A tax delta of more than 100 rupees."""
     most = F.greatest(F.abs("parts_delta"), F.abs("rate_delta"))
-    return tax_deltas(invoices).select(F.col("id").alias("invoice_id"), most.alias("delta_paise")).where("delta_paise > 10000")
+    return with_tax_deltas(invoices).select(F.col("id").alias("invoice_id"), most.alias("delta_paise")).where("delta_paise > 10000")
 
 
 def period_deferral(invoices: DataFrame) -> DataFrame:
@@ -236,20 +246,20 @@ def policies(spark) -> DataFrame:
 
 
 def document_holds(invoices: DataFrame) -> DataFrame:
-    """invoice_id, hold_type of the families that look at documents alone; one row per document and type."""
-    each = {
-        "duplicate_candidate": duplicate_candidates(invoices),
-        "dist_variance": dist_variance(invoices),
-        "tax_variance": tax_variance(invoices),
-        "tax_amount_range": tax_amount_range(invoices),
-        "period_deferral": period_deferral(invoices),
-        "credit_note_crossing": credit_note_crossing(invoices),
-    }
-    out = None
-    for type_, rows in each.items():
-        part = rows.select("invoice_id", F.lit(type_).alias("hold_type"))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    """invoice_id, hold_type of the families that look at documents alone; one row per document and type.
+
+    What a row and its vendor's counts tell comes from one pass; only copies need the self-join.
+    """
+    month = _month(F.col("invoice_date"))
+    marks = [
+        F.when(F.col("gross_paise") - F.col("net_paise") - F.col("tax_total") != 0, "dist_variance"),
+        F.when(F.size(_tax_reasons()) > 0, "tax_variance"),
+        F.when(F.greatest(F.abs("parts_delta"), F.abs("rate_delta")) > 10_000, "tax_amount_range"),
+        F.when(F.col("period") != month, "period_deferral"),
+        F.when(F.col("is_credit_note") & (_month(F.col("received_date")) != month), "credit_note_crossing"),
+    ]
+    own = with_tax_deltas(_with_scheme(invoices)).select(F.col("id").alias("invoice_id"), F.explode(F.array_compact(F.array(*marks))).alias("hold_type"))
+    return own.unionByName(duplicate_candidates(invoices).select("invoice_id", F.lit("duplicate_candidate").alias("hold_type"))).distinct()
 
 
 def principal_holds(holds: DataFrame) -> DataFrame:

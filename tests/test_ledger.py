@@ -3,7 +3,6 @@
 import datetime as dt
 import itertools
 import json
-import os
 import random
 
 import duckdb
@@ -31,11 +30,7 @@ def plain(df):
     return columns, sorted(map(tuple, df[columns].astype(object).where(df[columns].notna(), None).astype(str).values.tolist()))
 
 
-#: Queries over all hold families plan dozens of joins each; they run with TALLYWEAVE_ALL=1.
-WIDE = {name for name, sql in catalogue.ORACLES.items() if "dups AS" in sql and name not in ("duplicate_candidates", "document_holds")}
-
-
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES if os.environ.get("TALLYWEAVE_ALL") else set(catalogue.ORACLES) - WIDE))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_oracle(spark, duck, name):
     assert plain(catalogue.QUERIES[name](spark, FOLDER).toPandas()) == plain(duck.sql(catalogue.ORACLES[name]).df())
 
