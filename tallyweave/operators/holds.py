@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.reference_data import AMOUNT_CAP, HOLD_POLICIES, MAX_POOL, SEVERITY_RANK, WINDOW_DAYS
-from tallyweave.operators.normalise import duplicate_key, reference_keys
+from tallyweave.functions.reference_data import AMOUNT_CAP, HOLD_POLICIES, SEVERITY_RANK, WINDOW_DAYS
+from tallyweave.operators.normalise import duplicate_key
 from tallyweave.operators.scoring import ACCEPT, amount_within
 
 
@@ -186,45 +183,6 @@ def subset_sum(values: list[int], target: int, limit: int = 2) -> tuple[list[int
     return masks, int((left[fits] + right[last[fits] - 1]).max()) if fits.any() else 0
 
 
-def settlement_pools(invoices: DataFrame, payments: DataFrame) -> DataFrame:
-    """Lines in the window whose narration quotes an invoice's number: one row per invoice, at most MAX_POOL + 1 of them.
-
-    An amount never nominates a line. Pools beyond the bound aren't searched, so their lines stay behind.
-    """
-    rows = invoices.where(~F.col("is_credit_note") & (F.col("gross_paise") > 0)).select("id", "gross_paise", "invoice_date")
-    named, quoted = reference_keys(invoices, "id", "reference"), reference_keys(payments, "payment_id", "narration_raw")
-    met = named.join(quoted, "number").select("id", "payment_id").distinct().join(rows, "id").join(payments.select("payment_id", "value_date", "amount_paise"), "payment_id")
-    turn = F.row_number().over(Window.partitionBy("id").orderBy("payment_id"))
-    near = met.where(F.abs(F.datediff("value_date", "invoice_date")) <= WINDOW_DAYS).withColumn("turn", turn).where(F.col("turn") <= MAX_POOL + 1)
-    return near.groupBy("id", "gross_paise").agg(F.array_sort(F.collect_list(F.struct("payment_id", "amount_paise"))).alias("pool"))
-
-
-def cardinality_residuals(pools: DataFrame) -> DataFrame:
-    """invoice_id, finding, payment_ids, residual_paise: pools that settle in one way, more ways, in part or not at all."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for id_, gross, pool in zip(batch["id"], batch["gross_paise"], batch["pool"], strict=True):
-                ids, amounts = [p["payment_id"] for p in pool], [int(p["amount_paise"]) for p in pool]
-                if len(ids) > MAX_POOL:
-                    out.append((id_, "pool_exceeds_bound", "", int(gross)))
-                    continue
-                masks, best = subset_sum(amounts, int(gross))
-                chosen = [[x for k, x in enumerate(ids) if mask >> k & 1] for mask in masks]
-                if len(masks) == 1 or masks and all(len(c) == 1 for c in chosen):
-                    out.append((id_, "settled", "+".join(min(chosen)), 0))
-                elif masks:
-                    out.append((id_, "contested", "", int(gross)))
-                elif best and len(ids) > 1:
-                    out.append((id_, "partial_settlement", "", int(gross) - best))
-                else:
-                    out.append((id_, "none", "", int(gross)))
-            yield pd.DataFrame(out, columns=["invoice_id", "finding", "payment_ids", "residual_paise"])
-
-    return pools.mapInPandas(run, "invoice_id string, finding string, payment_ids string, residual_paise long")
-
-
 # --- unmatched documents, and the decision ---------------------------------------------------
 
 

@@ -104,6 +104,7 @@ PROFILES: dict[str, list[str]] = {
     "reference.v2": [*_BASE, "delimiter_segment", "reference_prefix_strip", "leading_zero_strip"],
     "narration.v1": [*_BASE, "noise_token_strip", "legal_suffix_strip", "abbreviation_expand"],
     "identifier.v1": ["unicode_fold", "identifier_repair"],
+    "scan.v1": ["unicode_fold", "case_fold", "punctuation_strip", "whitespace_collapse"],
 }
 
 
@@ -174,6 +175,13 @@ def classified_tokens(rows: DataFrame, key: str, text: str, scan: Iterable[str]
     return rows.select(key, F.posexplode(_tokens(value)).alias("index", "token")).withColumn("klass", token_class(F.col("token")))
 
 
+def residue(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, residue, identifiers: the words of a field that may name a vendor, and how many tokens have the shape of an identifier."""
+    tokens = _tokens(reduce(lambda c, s: STEPS[s](c), ("case_fold", "punctuation_strip", "whitespace_collapse"), F.col(text)))
+    of = lambda klass: F.filter(tokens, lambda t: token_class(t) == klass)
+    return rows.select(key, F.array_join(of("word"), " ").alias("residue"), F.size(of("identifier")).cast("long").alias("identifiers"))
+
+
 def displaced_tokens(tokens: DataFrame, field: str, least: int = 3) -> DataFrame:
     """Tokens whose class belongs to another field than the one they are in."""
     home = F.when(F.col("klass") == "identifier", "identifier").when(F.col("klass").isin("numeric", "mixed_alphanumeric"), "reference").when(F.col("klass") == "word", "vendor")

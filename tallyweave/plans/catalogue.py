@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.reference_data import ABBREVIATIONS, AMOUNT_CAP, HOLD_POLICIES, LEGAL_SUFFIXES, NOISE_TOKENS, REACH, REFERENCE_PREFIXES, ROUTING, TOLERANCE_KINDS, UNREACHED
 from tallyweave.functions.similarity import digit_agreement
-from tallyweave.operators import holds, normalise, review, scoring
+from tallyweave.operators import cardinality, holds, normalise, review, scoring
 from tallyweave.sources import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,15 +323,43 @@ def price_variance(spark, sf_dir):
     return holds.price_variance(_candidates(spark, sf_dir))
 
 
-@query("cardinality_residuals")
+_SUBSETS = """{0}_pool AS (SELECT *, row_number() OVER (PARTITION BY {1} ORDER BY {2}) AS k FROM {0}_pairs),
+{0}_sub AS (SELECT {1}, k, {3} AS total, 1 AS n, {2} AS parts FROM {0}_pool UNION ALL SELECT s.{1}, p.k, s.total + p.{3}, s.n + 1, s.parts || '+' || p.{2} FROM {0}_sub s JOIN {0}_pool p ON p.{1} = s.{1} AND p.k > s.k),
+{0}_sums AS (SELECT {1}, any_value(goal) AS goal, count(*) FILTER (total = goal) AS exact, count(*) FILTER (total = goal AND n > 1) AS wider, max(parts) FILTER (total = goal) AS parts, max(total) FILTER (total <= goal) AS best
+   FROM {0}_sub JOIN (SELECT {1}, any_value({4}) AS goal FROM {0}_pairs GROUP BY 1) USING ({1}) GROUP BY 1),
+{0}_best AS (SELECT a.{1}, count(*) AS ways, count(*) FILTER (n > 1) AS wide, max(s.parts) AS parts FROM {0}_sums a JOIN {0}_sub s ON s.{1} = a.{1} AND s.total = a.best WHERE exact = 0 AND best > 0 GROUP BY 1),
+{0}_found AS (SELECT a.{1}, goal, CASE WHEN exact > 0 AND NOT (exact > 1 AND wider > 0) AND exact = 1 THEN 'settled' WHEN exact > 1 AND wider = 0 THEN 'singles' WHEN exact > 1 THEN 'contested_settlement' WHEN wide > 0 THEN 'partial_settlement' ELSE 'none' END AS finding,
+   CASE WHEN exact = 1 THEN a.parts WHEN exact = 0 AND wide > 0 AND ways = 1 THEN b.parts ELSE '' END AS payment_ids, CASE WHEN exact = 1 THEN goal WHEN exact = 0 AND wide > 0 AND ways = 1 THEN best ELSE 0 END AS settled_paise,
+   CASE WHEN exact = 1 THEN 0 WHEN exact = 0 AND wide > 0 THEN goal - best ELSE goal END AS residual_paise, exact > 1 AND wider > 0 OR exact = 0 AND coalesce(wide > 0 AND ways > 1, FALSE) AS contested FROM {0}_sums a LEFT JOIN {0}_best b USING ({1}))"""
+_FINDINGS = f"""own_pairs AS (SELECT id, payment_id, gross_paise, amount_paise FROM met WHERE NOT is_credit_note AND gross_paise > 0 AND abs({_GAP}) <= 45),
+bulk_pairs AS (SELECT * FROM own_pairs WHERE payment_id IN (SELECT payment_id FROM own_pairs GROUP BY 1 HAVING count(*) > 1)),
+{_SUBSETS.format('own', 'id', 'payment_id', 'amount_paise', 'gross_paise')}, {_SUBSETS.format('bulk', 'payment_id', 'id', 'gross_paise', 'amount_paise')},
+told AS (SELECT id, bool_or(b.finding = 'settled' AND list_contains(string_split(b.payment_ids, '+'), id)) AS settles, arg_min(CASE WHEN b.finding IN ('none', 'partial_settlement') THEN 'bulk_partial' ELSE b.finding END, payment_id) FILTER (b.finding IN ('none', 'partial_settlement', 'contested_settlement')) AS cause
+   FROM bulk_pairs JOIN bulk_found b USING (payment_id) WHERE id IN (SELECT id FROM own_found WHERE finding = 'none') GROUP BY 1),
+found AS (SELECT id AS invoice_id, CASE WHEN settles THEN 'settled_in_bulk' ELSE coalesce(cause, finding) END AS finding, payment_ids, CAST(settled_paise AS BIGINT) AS settled_paise, CAST(residual_paise AS BIGINT) AS residual_paise, contested OR coalesce(cause = 'contested_settlement' AND NOT settles, FALSE) AS contested, 0 AS days_outside FROM own_found LEFT JOIN told USING (id)
+   UNION ALL SELECT id, 'advice_outside_window', '', 0, any_value(gross_paise), FALSE, CAST(min(abs({_GAP})) AS INTEGER) FROM met WHERE NOT is_credit_note AND gross_paise > 0 AND id NOT IN (SELECT id FROM own_pairs) GROUP BY id),
+residual AS (SELECT f.invoice_id, 'cardinality_residual' AS hold_type, finding, concat_ws('+', 'residual_unsettled:material', CASE WHEN contested THEN 'multiple_candidates_tied:blocking' END, CASE WHEN finding = 'advice_outside_window' THEN 'date_outside_window:material' END,
+   CASE WHEN gross_paise > {AMOUNT_CAP} THEN 'amount_over_cap:blocking' END) AS conflicts, CASE WHEN contested OR gross_paise > {AMOUNT_CAP} THEN 'blocking' ELSE 'material' END AS severity FROM found f JOIN inv ON id = f.invoice_id WHERE finding NOT IN ('settled', 'singles', 'settled_in_bulk', 'none'))"""
+
+
+def _recursive(body: str, *more: str) -> str:
+    return _with(body, *more).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("cardinality_findings", _recursive(" SELECT * FROM found", _PAIRS, _FINDINGS))
+def cardinality_findings(spark, sf_dir):
+    return cardinality.findings(ledger.invoices(spark, sf_dir), ledger.payments(spark, sf_dir))
+
+
+@query("cardinality_residuals", _recursive(" SELECT * FROM residual", _PAIRS, _FINDINGS))
 def cardinality_residuals(spark, sf_dir):
-    return holds.cardinality_residuals(holds.settlement_pools(ledger.invoices(spark, sf_dir), ledger.payments(spark, sf_dir)))
+    return cardinality.residual_holds(cardinality_findings(spark, sf_dir), ledger.invoices(spark, sf_dir))
 
 
 @query("unmatched_documents")
 def unmatched_documents(spark, sf_dir):
-    inv = ledger.invoices(spark, sf_dir)
-    return holds.unmatched(inv, _candidates(spark, sf_dir), holds.document_holds(inv))
+    inv, ranked = ledger.invoices(spark, sf_dir), _candidates(spark, sf_dir)
+    return holds.unmatched(inv, ranked, _spoken(spark, sf_dir, inv, ranked))
 
 
 _HOLDS = f"""{_ESTABLISHED}, {_DELTAS}, {_TAXV}, {_SIGNALS}, {_SERIES}, {_DUPLICATES},
@@ -374,11 +402,18 @@ def decisions_by_digits(spark, sf_dir):
     return _decided_by_digits(spark, sf_dir)
 
 
+def _spoken(spark, sf_dir, inv, ranked) -> DataFrame:
+    """The holds of all families but the last, which only speaks of documents that no other does."""
+    priced = holds.price_variance(ranked).select("invoice_id", F.lit("price_variance").alias("hold_type"))
+    parts = cardinality_residuals(spark, sf_dir).select("invoice_id", "hold_type")
+    return holds.document_holds(inv).unionByName(priced).unionByName(parts).distinct()
+
+
 def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Invoices, their ranked candidates and the holds of all families."""
     inv = ledger.invoices(spark, sf_dir)
     ranked = _candidates(spark, sf_dir)
-    spoken = holds.document_holds(inv).unionByName(holds.price_variance(ranked).select("invoice_id", F.lit("price_variance").alias("hold_type")))
+    spoken = _spoken(spark, sf_dir, inv, ranked)
     rest = holds.unmatched(inv, ranked, spoken).select("invoice_id", "hold_type")
     return inv, ranked, spoken.unionByName(rest).distinct()
 

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import similarity
-from tallyweave.operators import holds, narration, normalise, review, scoring, workflow
-from tallyweave.plans import catalogue, workflow_queries  # noqa: F401
+from tallyweave.operators import cardinality, holds, narration, normalise, review, scoring, workflow
+from tallyweave.plans import catalogue, record_queries, workflow_queries  # noqa: F401
 from tallyweave.sources import datasets, ledger
 
 FOLDER = "/root/testdata/sf0.001"
@@ -81,11 +81,11 @@ def test_subset_sum_equals_brute_force():
 
 
 def test_cardinality_findings(spark):
-    pool = "array<struct<payment_id:string,amount_paise:bigint>>"
+    pool = "array<struct<part:string,amount:bigint>>"
     rows = [("unique", 100, [("a", 60), ("b", 40), ("c", 7)]), ("tied", 100, [("a", 60), ("b", 40), ("c", 60), ("d", 40)]), ("singles", 100, [("a", 100), ("b", 100)]), ("part", 100, [("a", 30), ("b", 50)]), ("none", 100, [("a", 30)]), ("big", 9, [(f"p{i}", 1) for i in range(41)])]
-    got = holds.cardinality_residuals(spark.createDataFrame(rows, f"id string, gross_paise long, pool {pool}")).collect()
-    assert {r["invoice_id"]: (r["finding"], r["payment_ids"], r["residual_paise"]) for r in got} == {
-        "unique": ("settled", "a+b", 0), "tied": ("contested", "", 100), "singles": ("settled", "a", 0), "part": ("partial_settlement", "", 20), "none": ("none", "", 100), "big": ("pool_exceeds_bound", "", 9),
+    got = cardinality._searched(spark.createDataFrame(rows, f"id string, goal long, pool {pool}")).collect()
+    assert {r["id"]: (r["finding"], r["payment_ids"], r["residual_paise"]) for r in got} == {
+        "unique": ("settled", "a+b", 0), "tied": ("contested_settlement", "", 100), "singles": ("singles", "", 100), "part": ("partial_settlement", "a+b", 20), "none": ("none", "", 100), "big": ("pool_exceeds_bound", "", 9),
     }
 
 
