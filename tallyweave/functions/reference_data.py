@@ -17,22 +17,24 @@ NOISE_TOKENS = (
 REFERENCE_PREFIXES = "inv invc invno invoice bill billno bl no nos num numb nbr ref refno reference doc docno document cn dn pi po pono gst tax".split()
 
 #: Abbreviation and expansion.
-ABBREVIATIONS = dict(
-    pair.split(":")
-    for pair in (
-        "sw:software softwares:software svc:services svcs:services serv:services servs:services srv:services srvc:services srvcs:services service:services "
-        "tech:technologies techn:technologies techno:technologies technol:technologies technology:technologies "
-        "sol:solutions soln:solutions solns:solutions sols:solutions solution:solutions sys:systems syst:systems systs:systems system:systems "
-        "engg:engineering engr:engineering engnr:engineering intl:international intnl:international internatl:international natl:national natnl:national "
-        "mfg:manufacturing mfr:manufacturing mfrs:manufacturing manuf:manufacturing ind:industries inds:industries indus:industries industry:industries "
-        "ent:enterprises ents:enterprises entp:enterprises entps:enterprises enterprise:enterprises comm:communications comms:communications communication:communications "
-        "elec:electronics elect:electronics electronic:electronics pharm:pharmaceuticals pharma:pharmaceuticals pharmaceutical:pharmaceuticals "
-        "lab:laboratories labs:laboratories laboratory:laboratories dist:distributors distr:distributors distbtr:distributors distributor:distributors "
-        "trdg:trading assoc:associates assocs:associates associate:associates bro:brothers bros:brothers brother:brothers agy:agencies agcy:agencies agency:agencies "
-        "consultant:consultants info:information mgmt:management mgt:management eqpt:equipment equip:equipment prod:products prods:products product:products "
-        "grp:group hldg:holdings hldgs:holdings holding:holdings logi:logistics logistic:logistics pkg:packaging chem:chemicals chemical:chemicals tex:textiles textile:textiles"
-    ).split()
-)
+ABBREVIATIONS = {
+    "sw": "software", "softwares": "software", "svc": "services", "svcs": "services", "serv": "services", "servs": "services", "srv": "services",
+    "srvc": "services", "srvcs": "services", "service": "services", "tech": "technologies", "techn": "technologies", "techno": "technologies",
+    "technol": "technologies", "technology": "technologies", "sol": "solutions", "soln": "solutions", "solns": "solutions", "sols": "solutions",
+    "solution": "solutions", "sys": "systems", "syst": "systems", "systs": "systems", "system": "systems", "engg": "engineering",
+    "engr": "engineering", "engnr": "engineering", "intl": "international", "intnl": "international", "internatl": "international",
+    "natl": "national", "natnl": "national", "mfg": "manufacturing", "mfr": "manufacturing", "mfrs": "manufacturing", "manuf": "manufacturing",
+    "ind": "industries", "inds": "industries", "indus": "industries", "industry": "industries", "ent": "enterprises", "ents": "enterprises",
+    "entp": "enterprises", "entps": "enterprises", "enterprise": "enterprises", "comm": "communications", "comms": "communications",
+    "communication": "communications", "elec": "electronics", "elect": "electronics", "electronic": "electronics", "pharm": "pharmaceuticals",
+    "pharma": "pharmaceuticals", "pharmaceutical": "pharmaceuticals", "lab": "laboratories", "labs": "laboratories", "laboratory": "laboratories",
+    "dist": "distributors", "distr": "distributors", "distbtr": "distributors", "distributor": "distributors", "trdg": "trading",
+    "assoc": "associates", "assocs": "associates", "associate": "associates", "bro": "brothers", "bros": "brothers", "brother": "brothers",
+    "agy": "agencies", "agcy": "agencies", "agency": "agencies", "consultant": "consultants", "info": "information", "mgmt": "management",
+    "mgt": "management", "eqpt": "equipment", "equip": "equipment", "prod": "products", "prods": "products", "product": "products", "grp": "group",
+    "hldg": "holdings", "hldgs": "holdings", "holding": "holdings", "logi": "logistics", "logistic": "logistics", "pkg": "packaging",
+    "chem": "chemicals", "chemical": "chemicals", "tex": "textiles", "textile": "textiles",
+}
 
 #: Hold type, releases itself, blocks accounting, severity.
 HOLD_POLICIES = [

@@ -47,7 +47,28 @@ def partial_ratio(a: str, b: str) -> int:
     return max(ratio(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)) if b[max(0, i) : i + n])
 
 
-COMPARATORS = {"ratio": ratio, "token_set_ratio": token_set_ratio, "partial_ratio": partial_ratio, "token_sort_ratio": lambda a, b: ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))}
+def partial_token_set_ratio(a: str, b: str) -> int:
+    """100 as soon as a word is shared, else the best part of the words each has alone."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0
+    return 100 if x & y else partial_ratio(" ".join(sorted(x)), " ".join(sorted(y)))
+
+
+def weighted_ratio(a: str, b: str) -> int:
+    """The best of the plain, sorted and set ratios, weighed down; of their partial forms when the lengths lie far apart."""
+    if not a or not b:
+        return 0
+    apart, order = max(len(a), len(b)) / min(len(a), len(b)), lambda s: " ".join(sorted(s.split()))
+    if apart < 1.5:
+        scores = [ratio(a, b), ratio(order(a), order(b)) * 0.95, token_set_ratio(a, b) * 0.95]
+    else:
+        weight = 0.6 if apart > 8 else 0.9
+        scores = [ratio(a, b), partial_ratio(a, b) * weight, partial_ratio(order(a), order(b)) * 0.95 * weight, partial_token_set_ratio(a, b) * 0.95 * weight]
+    return int(max(scores) + 0.5)
+
+
+COMPARATORS = {"ratio": ratio, "token_set_ratio": token_set_ratio, "partial_ratio": partial_ratio, "token_sort_ratio": lambda a, b: ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), "partial_token_set_ratio": partial_token_set_ratio, "WRatio": weighted_ratio}
 
 
 def compare(name: str, a: Column, b: Column) -> Column:

@@ -81,8 +81,8 @@ def leading_zero_strip(c: Column) -> Column:
     return F.array_join(F.transform(_tokens(c), lambda t: F.regexp_replace(t, r"^0+([0-9]+)$", "$1")), " ")
 
 
-def token_sort(c: Column) -> Column:
-    return F.array_join(F.array_sort(_tokens(c)), " ")
+def token_sort(c: Column, dedupe: bool = False) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(_tokens(c)) if dedupe else _tokens(c)), " ")
 
 
 def identifier_repair(c: Column) -> Column:

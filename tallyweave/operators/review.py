@@ -237,7 +237,7 @@ def violations(invoices: DataFrame, payments: DataFrame, candidates: DataFrame)
         ("V1_tax_split", invoices.where("igst + cgst + sgst + cess <> tax_total")),
         ("V2_period_format", invoices.where(~F.col("period").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"))),
         ("V4_bank_transaction_unique", payments.groupBy("bank_transaction_id").count().where("count > 1")),
-        ("V9_invoice_id_unique", invoices.groupBy("id").count().where("count > 1")),
+        ("invoice_id_unique", invoices.groupBy("id").count().where("count > 1")),
         ("V10_rank_unique", candidates.groupBy("id", "rank").count().where("count > 1")),
         ("V12_composite_range", candidates.where("composite < 0 OR composite > 1")),
         ("V18_payment_exists", candidates.join(payments, "payment_id", "left_anti")),

@@ -642,7 +642,7 @@ _VIOLATIONS = {
     "V1_tax_split": "inv WHERE igst + cgst + sgst + cess <> tax_total",
     "V2_period_format": "inv WHERE NOT regexp_full_match(period, '[0-9]{4}-(0[1-9]|1[0-2])')",
     "V4_bank_transaction_unique": "(SELECT bank_transaction_id FROM pay GROUP BY 1 HAVING count(*) > 1)",
-    "V9_invoice_id_unique": "(SELECT id FROM inv GROUP BY 1 HAVING count(*) > 1)",
+    "invoice_id_unique": "(SELECT id FROM inv GROUP BY 1 HAVING count(*) > 1)",
     "V10_rank_unique": "(SELECT id, rank FROM cand GROUP BY 1, 2 HAVING count(*) > 1)",
     "V12_composite_range": "cand WHERE composite < 0 OR composite > 1",
     "V18_payment_exists": "cand WHERE payment_id NOT IN (SELECT payment_id FROM pay)",

@@ -313,7 +313,7 @@ def narration_residue(spark, sf_dir):
 
 @query("sorted_names", f"SELECT c_custkey, array_to_string(list_sort(list_distinct({c._TOKENS.format(f'({c._VENDOR})')})), ' ') AS sorted FROM customer")
 def sorted_names(spark, sf_dir):
-    return c._read(spark, sf_dir, "customer").select("c_custkey", normalise.token_sort(normalise.normalise(F.expr(c._VENDOR), "scan.v1")).alias("sorted"))
+    return c._read(spark, sf_dir, "customer").select("c_custkey", normalise.token_sort(normalise.normalise(F.expr(c._VENDOR), "scan.v1"), dedupe=True).alias("sorted"))
 
 
 _LOOKUP = f"array_to_string(list_filter({c._TOKENS.format(f'({c._VENDOR})')}, lambda t: t NOT IN {c._in(c.NOISE_TOKENS)} AND t NOT IN {c._in(c.LEGAL_SUFFIXES)}), ' ')"

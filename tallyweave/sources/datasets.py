@@ -55,11 +55,54 @@ def parsed_outcomes(raw: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def tree_hash(spark: SparkSession, path: str) -> DataFrame:
-    """One row: SHA-256 over the sorted listing 'path hash' of all files below path, MANIFEST left out."""
+    """One row: files and SHA-256 over the sorted listing 'relative-path hash' of all files below path, MANIFEST left out.
+
+    Hashes are sorted and joined a folder at a time, so that no list holds a whole tree's files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = files.select(F.col("path"), F.sha2("content", 256).alias("hash")).where(~F.col("path").endswith("/MANIFEST"))
-    line = F.concat_ws(" ", F.element_at(F.split("path", "/"), -1), F.col("hash"))
-    return listed.agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("root"))
+    base = path.rstrip("/") + "/"
+    relative = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
+    listed = files.select(relative.alias("path"), F.sha2("content", 256).alias("hash")).where(~F.col("path").endswith("/MANIFEST"))
+    listed = listed.select(F.substring("path", F.lit(len(base) + 1), F.length("path")).alias("path"), "hash")
+    folder = F.regexp_extract("path", "^(.*?)[^/]*$", 1)
+    folders = listed.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "hash"))), "\n").cast("binary"), 256).alias("hash"))
+    return folders.agg(F.sum("files").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "folder", "hash"))), "\n").cast("binary"), 256).alias("root"))
+
+
+#: Header fields of a MANIFEST.
+MANIFEST_FIELDS = ("dataset", "generator", "seed", "root")
+
+
+def manifest_fields(spark: SparkSession, path: str) -> DataFrame:
+    """field, value of the header lines 'field: value' of a MANIFEST that are known, the first of each."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("turn", "line"))
+    parts = lines.select("turn", F.trim(F.regexp_extract("line", r"^#?\s*(\w+)\s*[:=]", 1)).alias("field"), F.trim(F.regexp_extract("line", r"^#?\s*\w+\s*[:=]\s*(.*)$", 1)).alias("value"))
+    return parts.where(F.col("field").isin(*MANIFEST_FIELDS)).groupBy("field").agg(F.min_by("value", "turn").alias("value"))
+
+
+def declared_mix(spark: SparkSession, path: str, fallback: dict[str, float]) -> DataFrame:
+    """stratum, declared from a JSON object, flat or under declared; fallback where the file has no number."""
+    names = ", ".join(f"{k} double" for k in fallback)
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<declared: struct<{names}>, {names}>").alias("x"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("stratum"), F.coalesce(F.col(f"x.declared.{k}"), F.col(f"x.{k}"), F.lit(float(v))).alias("declared")) for k, v in fallback.items()])
+    return raw.select(F.explode(pairs).alias("pair")).select("pair.*")
+
+
+#: Rows of one part of a report at most.
+REPORT_ROWS = 10_000
+
+
+def write_report(parts: dict[str, DataFrame], path: str) -> dict:
+    """One pretty JSON document of small tables (aggregates), sealed; each part a list of rows."""
+    document = {}
+    for name, df in parts.items():
+        rows = df.limit(REPORT_ROWS + 1).collect()
+        if len(rows) > REPORT_ROWS:
+            raise ValueError(f"{name} is no small table: write it as parquet")
+        document[name] = [row.asDict(recursive=True) for row in rows]
+    with open(path, "w") as file:
+        json.dump(document, file, indent=2, sort_keys=True, default=str)
+    return sealed(json.loads(json.dumps(document, default=str)))
 
 
 def sealed(document: dict) -> dict:

@@ -138,3 +138,33 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "MANIFEST").write_text("x")
     assert datasets.tree_hash(spark, str(tmp_path)).first()["root"] == before
     assert datasets.sealed({"b": 1, "a": None})["bytes"] == len('{"a":null,"b":1}')
+
+
+def test_trees_tell_folders_apart(spark, tmp_path):
+    roots = []
+    for swap in (False, True):
+        base = tmp_path / str(swap)
+        for folder, text in (("a", "1"), ("b", "2")):
+            (base / folder).mkdir(parents=True)
+            (base / folder / "same.json").write_text({"1": "2", "2": "1"}[text] if swap else text)
+        roots.append(datasets.tree_hash(spark, str(base)).first())
+    assert roots[0]["files"] == 2 and roots[0]["root"] != roots[1]["root"]
+
+
+def test_manifest_mix_and_report(spark, tmp_path):
+    (tmp_path / "MANIFEST").write_text("# dataset: holdout\n# seed: 7\nother: x\n# seed: 8\n")
+    assert {r["field"]: r["value"] for r in datasets.manifest_fields(spark, str(tmp_path / "MANIFEST")).collect()} == {"dataset": "holdout", "seed": "7"}
+    for text in ('{"clean": 0.4}', '{"declared": {"clean": 0.4}}'):
+        (tmp_path / "mix.json").write_text(text)
+        assert {r["stratum"]: r["declared"] for r in datasets.declared_mix(spark, str(tmp_path / "mix.json"), {"clean": 0.5, "period": 0.1}).collect()} == {"clean": 0.4, "period": 0.1}
+    seal = datasets.write_report({"totals": spark.range(2)}, str(tmp_path / "report.json"))
+    assert json.loads((tmp_path / "report.json").read_text()) == {"totals": [{"id": 0}, {"id": 1}]} and len(seal["sha256"]) == 64
+    with pytest.raises(ValueError):
+        datasets.write_report({"many": spark.range(20_000)}, str(tmp_path / "r.json"))
+
+
+def test_comparators_of_words():
+    assert similarity.partial_token_set_ratio("acme ltd", "ltd zebra") == 100 and similarity.partial_token_set_ratio("", "a") == 0
+    assert similarity.weighted_ratio("acme ltd", "acme ltd") == 100 and similarity.weighted_ratio("", "x") == 0
+    assert similarity.weighted_ratio("acme", "the acme trading company") == 90
+    assert similarity.weighted_ratio("b a", "a b") == 95
