@@ -189,7 +189,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs, all its columns, with the one row of each group of equal texts that exact_dedup keeps."""
+    """docs, all its columns, with the one row of each group of equal texts that exact_dedup keeps.
+
+    Null texts count as empty; null ids stay only where a group has no other; of rows with one id and
+    equal texts one stays, whichever; an empty table stays empty.
+    """
     kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_digest(F.col("text")).alias("digest"))
     stay = rows.join(kept, (F.col("digest") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")

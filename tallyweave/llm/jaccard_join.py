@@ -371,7 +371,12 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, all its columns, with the document of each component that has the smallest doc_id; null ids not linked to another stay."""
+    """docs, all its columns, with the document of each component that has the smallest doc_id.
+
+    Null ids not linked to another stay, as do documents without words. Rows that share the id that
+    stays all stay: the exact stage before leaves one of those with equal texts. An empty table stays
+    empty.
+    """
     stay = near_components(docs, k, num, den).where("component_id <=> doc_id").select(F.col("doc_id").alias("stay_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     return rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")), "left_semi").select("row.*")

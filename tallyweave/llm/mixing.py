@@ -149,7 +149,9 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """docs, all its columns, each row as many times as mix_sources copies it.
 
-    Rows that share doc_id, source and size are told apart by number only.
+    Null and empty texts have no words: they are taken as often as their source's rate, rounded down,
+    says. Rows that share doc_id, source and size are told apart by
+    number only. An empty table stays empty.
     """
     keys = ["id", "of", "words"]
     taken = mix_sources(docs).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words")).agg(F.collect_list("copies").alias("copies"))

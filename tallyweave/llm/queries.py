@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweave.llm import exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, mixing, piece_codec, quality, token_counts, toxicity
+from tallyweave.llm.textblocks import cut
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
 
 
+def simhash_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, other_id, distance: every document whose id is divisible by 20 against all distinct fingerprints, by their least document."""
+    docs = _documents(spark, sf_dir)
+    prints = cut(docs.select("doc_id", fingerprints.fingerprint(F.col("text")).alias("fp")))
+    asked = prints.where("doc_id % 20 = 0")
+    entries = prints.groupBy(F.col("fp").alias("entry")).agg(F.min("doc_id").alias("other_id"))
+    near = fingerprints.within_radius(prints, asked, 3).join(entries, "entry")
+    return asked.join(near, asked["fp"] == near["query"]).select("doc_id", "other_id", "distance")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(_documents(spark, sf_dir), k=4, num=85, den=100)
 
@@ -72,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_html_main_text": op6_html_main_text,
     "op7_simhash": op7_simhash,
+    "simhash_radius": simhash_radius,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,

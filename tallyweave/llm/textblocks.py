@@ -128,10 +128,13 @@ def pieces(column: pa.Array, most: int = 2 * BLOCK) -> Iterator[tuple[int, int]]
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the session's own spark.checkpoint.dir, else (in tests) a folder of ours."""
+    """Makes checkpoint() usable: the session's own spark.checkpoint.dir, else (on one machine, as in tests) a folder of ours."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
