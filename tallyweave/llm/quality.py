@@ -5,7 +5,8 @@ hashed to WIDTH slots; a document's vector has the square roots of its counts, s
 The bounded labelled sample is dealt over up to SHARES shares by a hash of doc_id and sorted in each,
 so that models depend neither on the input's partitions nor on the number of tasks. Each share trains
 by FTRL-proximal updates, one document at a time; the weights are averaged by rows, and a second
-round starts from that average. Scores are sparse dot products. Weights have a fixed width, so the model that is broadcast is 4 MB whatever the corpus.
+round starts from that average. Scores are sparse dot products, put on the scale of a chance by
+logistic regression on spare labelled rows that no share trains on. Weights have a fixed width, so the model that is broadcast is 4 MB whatever the corpus.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.labelled import BOUND, CHUNK, fold, labelled_texts, summed
+from tallyweave.llm.labelled import BOUND, CHUNK, fold, labelled_texts, logistic, summed
 from tallyweave.llm.textblocks import WORDS_AND_MARKS, cut, mix, pieces, word_hashes
 
 BITS = 20
@@ -71,14 +72,25 @@ class Ftrl:
         self.n[slots] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> np.ndarray:
-    """Weights from the labelled documents outside the held-out fold; about bound of them at most."""
+def products(text: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The sparse dot product of each text's vector with the weights."""
+    out = np.zeros(len(text))
+    for a, b in pieces(text):
+        slots, values, at = features(text[a:b])
+        total = np.append(0, np.cumsum(weights[slots] * values))
+        out[a:b] = total[at[1:]] - total[at[:-1]]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> tuple[np.ndarray, float, float]:
+    """Weights, offset and slope from the labelled documents outside the held-out fold; about bound of them at most."""
     keep = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     shares = max(1, min(SHARES, min(labels.where(keep & F.col("quality").isNotNull()).count(), bound) // PER_SHARE))
     rows = labelled_texts(docs, labels, "quality", keep, bound)
     turn = F.xxhash64(F.lit(13), "doc_id")
-    rows = rows.select("text", "y", F.pmod(turn, F.lit(shares)).cast("int").alias("part"), turn.alias("turn"), "doc_id")
-    rows = cut(rows.repartition(shares, "part").sortWithinPartitions("part", "turn", "doc_id", "text").select("text", "y", "part"))
+    rows = rows.select("text", "y", F.pmod(turn, F.lit(shares)).cast("int").alias("part"), turn.alias("turn"), "doc_id", "spare")
+    both = cut(rows.repartition(shares, "part").sortWithinPartitions("part", "turn", "doc_id", "text").select("text", "y", "part", "spare"))
+    rows = both.where("NOT spare").select("text", "y", "part")
     context, weights = docs.sparkSession.sparkContext, np.zeros(WIDTH, np.float32)
     for _ in range(ROUNDS):
         sent = context.broadcast(weights)
@@ -106,25 +118,31 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> np.ndarray:
 
         total, share = summed(rows, train, [(WIDTH, np.float32), (CHUNK, np.float32)])
         weights = (total / max(share[0], 1)).astype(np.float32)
-    return weights
+    sent = context.broadcast(weights)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(products(batch.column(0), sent.value)), batch.column(1)], names=["x", "y"])
+
+    measured = both.where("spare").select("text", "y").mapInArrow(measure, "x double, y int").toPandas()  # an eighth of bound
+    if measured["y"].nunique() < 2:
+        return weights, 0.0, 1.0
+    return weights, *logistic(measured["x"].to_numpy(), measured["y"].to_numpy(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    Null and empty texts have the constant feature alone. Without any label all scores are 0.5.
+    Null and empty texts have the constant feature alone. Without any label all scores are 0.5; spare
+    rows of one class leave the product's own scale.
     Repeated rows each give a row; other columns are not read. An empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
+    weights, offset, slope = fit(docs, labels, bound)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        out = np.zeros(len(text))
-        for a, b in pieces(text):
-            slots, values, at = features(text[a:b])
-            total = np.append(0, np.cumsum(sent.value[slots] * values))
-            out[a:b] = total[at[1:]] - total[at[:-1]]
-        return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+        return pa.array(1 / (1 + np.exp(-np.clip(offset + slope * products(text, sent.value), -30, 30))))
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

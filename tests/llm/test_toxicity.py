@@ -99,3 +99,14 @@ def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("y", F.lit(1))
     got = [toxicity.score_toxicity(docs.repartition(n), labels).toPandas().sort_values("doc_id").score.to_numpy() for n in (2, 40)]
     assert np.allclose(*got)
+
+
+def test_quality_scores_do_not_depend_on_partitions(spark):
+    from tallyweave.llm import quality
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["!!", "buy"] if i % 4 == 0 and rng.random() < 0.3 else [f"w{rng.randrange(80)}"]) for _ in range(40))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(300)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [quality.score_quality(docs.repartition(n), labels).toPandas().sort_values("doc_id").score.to_numpy() for n in (2, 200)]
+    assert np.allclose(*got, atol=1e-6)
