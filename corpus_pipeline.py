@@ -15,7 +15,10 @@ from tallyweave.llm.textblocks import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on those of them that have labels, doesn't reject."""
+    """Documents that the toxicity model, fitted on those of them that have labels, doesn't reject.
+
+    Null and empty texts fare as texts without expressions; repeated rows share one fate.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,12 +33,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that each source has its target of words."""
+    """Documents repeated or left out so that each source has its target of words. Null is a source of its own; texts without words count 0."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    """doc_id, n_tokens, ids, decoded_sha256 of every row: what its text encodes to, and the digest of what the ids decode to. Null texts count as empty."""
     coded = piece_codec.encode_decode(docs, tokenizer_path())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
