@@ -13,6 +13,9 @@ class meets one centre; once those links are known, only classes of different co
 share a prefix n-gram are compared, inside tasks, in groups of bounded size. Every link between
 classes is found or joins two classes that are connected already, so components are exact.
 
+Postings of a frequent n-gram are dealt over several parts, as many as its slot's count asks for. Each
+part has a centre of its own, and these meet the n-gram's centre.
+
 Sets are of 64-bit hashes; a set has a 64-bit signature. The counts table has a fixed width, the
 filter for needed sets a fixed number of bits, so all that is broadcast has a fixed bound.
 """
@@ -34,6 +37,8 @@ from tallyweave.llm.textblocks import chain, cut, mix, word_hashes
 TABLE_BITS, ROW, SKETCH, LONG_SKETCH, FRAGMENTS = 20, 1 << 13, 512, 1 << 15, 32
 #: 64-bit words of the filter for needed sets; classes of one comparing group, at most twice over.
 FILTER_WORDS, GROUP = 1 << 18, 1024
+#: Postings that one part of an n-gram takes, about; parts of an n-gram at most; parts of a node's links.
+SPLIT, MOST_PARTS, NODE_PARTS = 1024, 4096, 16
 _U = np.uint64
 _SLOT = _U((1 << TABLE_BITS) - 1)
 
@@ -124,8 +129,8 @@ def _measure(k: int):
     return run
 
 
-def _order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Each slot's place in the global order, and its fragment. The table is summed a row at a time."""
+def _order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each slot's place in the global order, its fragment, and the parts of its n-grams. The table is summed a row at a time."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -146,7 +151,8 @@ def _order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     mass = np.cumsum(counts[by].astype(np.float64))
     fragment = np.empty(1 << TABLE_BITS, np.uint8)
     fragment[by] = np.minimum(mass / max(mass[-1], 1) * FRAGMENTS, FRAGMENTS - 1).astype(np.uint8)
-    return place, fragment
+    parts = np.clip(np.ceil(counts / max(SPLIT, 16 * counts.mean())), 1, MOST_PARTS).astype(np.uint16)
+    return place, fragment, parts
 
 
 def _need(a: Column, b: Column, num: int, den: int) -> Column:
@@ -171,13 +177,14 @@ class Join:
         self.k, self.num, self.den = k, num, den
         self.context = docs.sparkSession.sparkContext
         measured = cut(self.docs.mapInArrow(_measure(k), _SETS))
-        self.place, self.fragment = (self.context.broadcast(x) for x in _order(measured))
+        self.place, self.fragment, self.parts = (self.context.broadcast(x) for x in _order(measured))
         self.sets = measured.where("row IS NULL").select("doc_id", "n", "sig", "sketch")
         self.classes = self.sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
 
     def postings(self) -> DataFrame:
-        """gram, sig, n, pos of the prefix n-grams of the sets, in global order; a task sends each set once."""
-        k, num, den, place = self.k, self.num, self.den, self.place
+        """gram, sig, n, pos of the prefix n-grams of the sets, in global order, the gram's number of parts
+        and the part that the set falls in; a task sends each set once."""
+        k, num, den, place, split = self.k, self.num, self.den, self.place, self.parts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -190,10 +197,13 @@ class Join:
                 own = np.where(fresh, sizes, 0)
                 pos = np.arange(len(grams)) - np.repeat(np.cumsum(own) - own, own)
                 head = pos < (sizes - -(-num * sizes // den) + 1)[doc]
-                columns = [pa.array(grams[by][head].view(np.int64)), pa.array(sigs[doc[head]]), pa.array(sizes[doc[head]], pa.int32()), pa.array(pos[head], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "sig", "n", "pos"])
+                grams, doc = grams[by][head], doc[head]
+                parts = split.value[(grams & _SLOT).astype(np.int64)]
+                part_of = mix(sigs[doc].view(np.uint64) + _U(41)) % parts
+                columns = [pa.array(grams.view(np.int64)), pa.array(sigs[doc]), *(pa.array(x.astype(np.int32)) for x in (sizes[doc], pos[head], parts, part_of))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "sig", "n", "pos", "parts", "part"])
 
-        return self.docs.select("text").mapInArrow(run, "gram long, sig long, n int, pos int")
+        return self.docs.select("text").mapInArrow(run, "gram long, sig long, n int, pos int, parts int, part int")
 
     def segments(self, needed: np.ndarray) -> DataFrame:
         """sig, fragment, grams (packed, sorted) of the sets that the filter lets through."""
@@ -251,14 +261,15 @@ class Join:
         return both.where(apart("sketch_a", "sketch_b") <= most).select("a", "b", "na", "nb")
 
     def _others(self, met: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components that share a prefix n-gram and aren't a centre's, filtered inside tasks."""
+        """Pairs of different components that share a prefix n-gram, filtered inside tasks. The centre of an
+        undivided n-gram has met all others already."""
         num, den = self.num, self.den
-        known = met.where("sig != centre.sig").select("gram", "sig", "n", "pos").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        run = W.partitionBy("gram")
-        mixed = known.withColumn("least", F.min("label").over(run)).withColumn("most", F.max("label").over(run)).withColumn("size", F.count("*").over(run)).where("least != most")
-        parts = F.ceil(F.col("size") / GROUP).cast("int")
-        own = F.pmod(F.xxhash64("sig"), parts).cast("int")
-        met_in = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        known = met.where("parts > 1 OR sig != centre.sig").select("gram", "part", "parts", "sig", "n", "pos").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        spans = known.groupBy("gram").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"), F.first("parts").alias("parts")).where("least != most")
+        mixed = known.drop("parts").join(spans.select("gram", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["gram", "part"])
+        groups = F.ceil(F.col("size") / GROUP).cast("int")
+        own = F.pmod(F.xxhash64("sig"), groups).cast("int")
+        met_in = F.transform(F.sequence(F.lit(0), groups - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
         dealt = mixed.select("gram", "sig", "n", "pos", "label", own.alias("own"), F.explode(met_in).alias("with")).join(self.classes.select("sig", "sketch"), "sig")
         keyed = dealt.select(F.xxhash64("gram", "with.i", "with.j").alias("key"), "gram", F.col("with.i").alias("i"), F.col("with.j").alias("j"), "own", "sig", "n", "pos", "label", "sketch")
 
@@ -279,14 +290,16 @@ class Join:
 
     def components(self) -> DataFrame:
         """label, the least signature of its component, of every class (sig) that has a link."""
-        run = W.partitionBy("gram")
-        centre = F.min(F.struct("pos", "n", "sig")).over(run)
-        met = self.postings().withColumn("centre", centre).withColumn("last", F.max("sig").over(run)).withColumn("first", F.min("sig").over(run)).where("first != last")
-        met = cut(met.select("gram", "sig", "n", "pos", "centre").dropDuplicates(["gram", "sig"]))
+        run = W.partitionBy("gram", "part")
+        least = F.min(F.struct("pos", "n", "sig"))
+        met = self.postings().withColumn("centre", least.over(run)).withColumn("last", F.max("sig").over(run)).withColumn("first", F.min("sig").over(run)).where("parts > 1 OR first != last")
+        met = cut(met.select("gram", "part", "parts", "sig", "n", "pos", "centre").dropDuplicates(["gram", "part", "sig"]))
+        tops = met.where("parts > 1 AND sig = centre.sig").withColumn("centre", least.over(W.partitionBy("gram")))  # one a part
+        both = met.unionByName(tops).where(F.col("sig") != F.col("centre.sig"))
         can = _can(F.col("n"), F.col("pos"), F.col("centre.n"), F.col("centre.pos"), self.num, self.den)
         own = F.col("sig") < F.col("centre.sig")
         sizes = [F.when(own, F.col("n")).otherwise(F.col("centre.n")).alias("na"), F.when(own, F.col("centre.n")).otherwise(F.col("n")).alias("nb")]
-        stars = met.where(F.col("sig") != F.col("centre.sig")).where(can).select(*_pairs_by_order(F.col("sig"), F.col("centre.sig")), *sizes)
+        stars = both.where(can).select(*_pairs_by_order(F.col("sig"), F.col("centre.sig")), *sizes)
         links = cut(self.links(cut(self._sketched(stars))))
         labels = connected(links)
         others = cut(self._others(met, labels).groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb")))
@@ -346,11 +359,16 @@ def _pair_batch(found: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """sig, label of every end of links (a, b): the least sig of its component, by label spreading with shortcuts."""
-    edges = cut(links.select(F.col("a").alias("sig"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("sig"), F.col("a").alias("to"))))
+    """sig, label of every end of links (a, b): the least sig of its component, by label spreading with shortcuts.
+
+    A node's links are dealt over NODE_PARTS parts, so that one with very many isn't one task's.
+    """
+    ends = links.select(F.col("a").alias("sig"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("sig"), F.col("a").alias("to")))
+    edges = cut(ends.withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(NODE_PARTS)).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(NODE_PARTS - 1))).alias("part")
     labels = cut(edges.groupBy("sig").agg(F.least(F.min("to"), F.first("sig")).alias("label")))
     while True:
-        near = edges.join(labels.withColumnRenamed("sig", "to"), "to").groupBy("sig").agg(F.min("label").alias("near"))
+        near = edges.join(labels.select(F.col("sig").alias("to"), "label", every), ["to", "part"]).groupBy("sig").agg(F.min("label").alias("near"))
         spread = labels.join(near, "sig").select("sig", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         jump = labels.select(F.col("sig").alias("via"), F.col("label").alias("far"))
         after = cut(spread.join(jump, "via").select("sig", "old", F.least("via", "far").alias("label")))

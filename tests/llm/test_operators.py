@@ -151,6 +151,35 @@ def test_jaccard_join_large_near_copies(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("split", [1, 5, 40])
+def test_jaccard_join_divided_ngrams(spark, monkeypatch, split):
+    """Postings of frequent n-grams in several parts: near copies of three texts, chains of small changes, and repeated rows."""
+    rng = random.Random(split)
+    rows = []
+    for base in range(3):
+        words = [f"w{rng.randrange(60)}" for _ in range(50)]
+        for i in range(40):
+            if i % 4 == 0:
+                words[rng.randrange(50)] = f"z{rng.randrange(1000)}"
+            copy = list(words)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(50)] = f"y{rng.randrange(1000)}"
+            rows += [(len(rows) + j, " ".join(copy), "a") for j in range(1 + (i % 9 == 0))]
+    want = brute_components(rows, 4, 85, 100)
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    monkeypatch.setattr(jaccard_join, "GROUP", 16)
+    measure = jaccard_join._order
+
+    def divided(sets):
+        place, fragment, parts = measure(sets)
+        assert parts.max() > 1 or split > 20  # the mean of a sparse table is near 0
+        return place, fragment, parts
+
+    monkeypatch.setattr(jaccard_join, "_order", divided)
+    got = jaccard_join.near_components(make(spark, rows).repartition(3), 4, 85, 100).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.near_components(empty).count() == 0
     assert jaccard_join.drop_near_copies(empty).columns == empty.columns
