@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, mixing, piece_codec, quality, token_counts, toxicity
+from tallyweave.llm import clusters, exact_dedup, fingerprints, html_extract, jaccard_join, license_scan, manifest, mixing, piece_codec, quality, sharding, token_counts, toxicity
 from tallyweave.llm.textblocks import cut
 
 
@@ -76,6 +76,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir))
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_proofs(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,5 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
+    "op11_shards": op11_shards,
+    "op12_ball_tree_clusters": op12_ball_tree_clusters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op12_ball_tree_clusters": clusters.SQL, "op13_merkle_manifest": manifest.SQL}
