@@ -74,6 +74,7 @@ class PieceModel:
         keys = np.array([a * self._span + b for a, b in pairs], np.int64)
         by = np.argsort(keys)
         self._keys = keys[by]
+        self._pairs = {a * self._span + b: made for (a, b), made in pairs.items()}
         self._ranks, self._made = (np.array([v[k] for v in pairs.values()], np.int32)[by] for k in (0, 1))
         self._bytes = np.array([next((i for i, p in enumerate(model.pieces) if p.piece == f"<0x{b:02X}>"), 0) for b in range(256)])
         raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else model.trainer_spec.unk_surface.encode() if p.type == 2 else p.piece.replace(MARK, " ").encode() for p in model.pieces]
@@ -101,9 +102,9 @@ class PieceModel:
     def _long(self, symbols: np.ndarray) -> np.ndarray:
         """One long word, a rank a round: all its pairs of the least rank merge at once, the leftmost of overlapping ones.
 
-        That is the order of single merges as long as no merge makes a pair of no higher rank; a round
-        ends with the first one that does. Symbols stay in place, linked past merged ones, so a round
-        costs what it merges.
+        That is the order of single merges as long as no merge makes a pair of no higher rank; from the
+        first one that does, the round goes on merge by merge. Symbols stay in place, linked past merged
+        ones, so a round costs what it merges.
         """
         n = len(symbols)
         symbols, ahead, back = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -134,6 +135,7 @@ class PieceModel:
             number = np.arange(len(at))
             begins = np.append(True, ahead[at[:-1]] != at[1:])  # a run of overlapping pairs
             take = (number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0
+            rest = at[:0]
             if least in self._unsafe and len(at) > 1:  # up to the first merge that makes a pair of no higher rank
                 own, new = at[take], made[take].astype(np.int64)
                 right, left = ahead[ahead[own]], back[own]
@@ -141,20 +143,47 @@ class PieceModel:
                 beside.append(np.append(np.where(right[:-1] == own[1:], self._look(new[:-1], new[1:])[0], _NONE), _NONE))
                 early = np.flatnonzero(np.minimum.reduce(beside) <= least)
                 if len(early):
-                    last = own[early[0]]
-                    if (rest := at[at > last]).size:
-                        waiting[least] = [rest]
-                        heapq.heappush(ranks, least)
-                    take &= at <= last
+                    rest = at[at >= own[early[0]]]
+                    take &= at < own[early[0]]
             at, made = at[take], made[take]
             gone = ahead[at]
             symbols[at], symbols[gone] = made, -1
             ahead[at] = ahead[gone]
             inner = ahead[at] < n
             back[ahead[at[inner]]] = at[inner]
-            wait(np.unique(np.concatenate([back[at][back[at] >= 0], at[inner]])))
+            beside = np.unique(np.append(at, self._one_by_one(symbols, ahead, back, rest, least)) if len(rest) else at)
+            beside = beside[symbols[beside] >= 0]
+            beside = np.unique(np.concatenate([back[beside][back[beside] >= 0], beside]))
+            wait(beside[ahead[beside] < n])
         return symbols[symbols >= 0]
 
+    def _one_by_one(self, symbols: np.ndarray, ahead: np.ndarray, back: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+        """Merges pairs of rank least at these places, the leftmost first, and whatever pairs of no higher rank that makes; the places merged."""
+        n, span, get, heap, merged = len(symbols), self._span, self._pairs.get, [], []
+        whole = len(at) * 16 > n  # lists are faster than arrays, and cost what they hold
+        s, f, b = (x.tolist() if whole else x for x in (symbols, ahead, back))
+        places = iter(at.tolist())
+        place = next(places, n)
+        while heap or place < n:
+            if heap and heap[0] < (least, place):
+                rank, p = heapq.heappop(heap)
+            else:
+                rank, p, place = least, place, next(places, n)
+            if s[p] < 0 or (q := f[p]) >= n or (found := get(int(s[p] * span + s[q]))) is None or found[0] != rank:
+                continue
+            made, r, left = found[1], f[q], b[p]
+            s[p], s[q], f[p] = made, -1, r
+            merged.append(p)
+            if left >= 0 and (found := get(int(s[left] * span + made))) is not None and found[0] <= least:
+                heapq.heappush(heap, (found[0], int(left)))
+            if r < n:
+                b[r] = p
+                if (found := get(int(made * span + s[r]))) is not None and found[0] <= least:
+                    heapq.heappush(heap, (found[0], p))
+        if whole:
+            symbols[:], ahead[:], back[:] = s, f, b
+        return np.array(merged, np.int64)
+
     def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and their number per word."""
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
