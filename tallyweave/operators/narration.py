@@ -102,6 +102,11 @@ def _references(text: pa.Array) -> pa.Array:
     return pa.array([references(x) for x in text.to_pylist()], pa.list_(pa.string()))
 
 
+def quoted_references(text: Column) -> Column:
+    """The references of a narration, as an array; null narrations quote nothing."""
+    return F.coalesce(_references(text), F.array().cast("array<string>"))
+
+
 def narration_references(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, turn, reference: what each narration quotes. Null narrations quote nothing."""
     return rows.select(key, F.posexplode(_references(F.col(text))).alias("turn", "reference"))

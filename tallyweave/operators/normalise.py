@@ -175,6 +175,12 @@ def classified_tokens(rows: DataFrame, key: str, text: str, scan: Iterable[str]
     return rows.select(key, F.posexplode(_tokens(value)).alias("index", "token")).withColumn("klass", token_class(F.col("token")))
 
 
+def names_in(c: Column) -> Column:
+    """The words of a narration that may name a vendor: neither noise nor numbers nor identifiers."""
+    tokens = _tokens(reduce(lambda x, s: STEPS[s](x), ("case_fold", "punctuation_strip", "whitespace_collapse"), c))
+    return F.array_join(F.filter(tokens, lambda t: token_class(t) == "word"), " ")
+
+
 def residue(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, residue, identifiers: the words of a field that may name a vendor, and how many tokens have the shape of an identifier."""
     tokens = _tokens(reduce(lambda c, s: STEPS[s](c), ("case_fold", "punctuation_strip", "whitespace_collapse"), F.col(text)))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.reference_data import AMOUNT_CAP, WINDOW_DAYS
-from tallyweave.functions.similarity import compare, digit_agreement, rescaled
-from tallyweave.operators.normalise import digits_of, normalise, reference_keys
+from tallyweave.functions.similarity import names_alike, reference_match, rescaled
+from tallyweave.operators.narration import aliases_from_vendors, quoted_references
+from tallyweave.operators.nearest import K, NO_DAY, nearest_payments
+from tallyweave.operators.normalise import digits_of, names_in, normalise, reference_keys, unicode_fold
+from tallyweave.sources.ledger import cut
 
 WEIGHTS = {"amount": 0.35, "reference": 0.4, "date": 0.1, "vendor": 0.15}
 CONSIDER, ACCEPT, TIE, TOP = 0.25, 0.75, 0.02, 5
@@ -43,18 +46,76 @@ def date_score(invoice_date: Column, value_date: Column) -> Column:
     return F.when(gap.isNull(), 0.0).when(gap < 0, base * 0.6).otherwise(base)
 
 
-def reference_score(a: Column, b: Column, a_digits: Column, b_digits: Column) -> Column:
-    """Of two canonical references: the better of weighted token and digit similarity, and of digits that carry it alone."""
-    token, digits = rescaled(compare("token_set_ratio", a, b), 0.6), digit_agreement(a_digits, b_digits)
-    return F.greatest(0.6 * token + 0.4 * digits, F.when(digits >= 0.6, digits * 0.9).otherwise(0.0))
+#: What a reference recovered from another field counts, beside one from its own.
+DISPLACED = 1.0
+#: Where references come from, and which of them the default scorer admits.
+ADMITTED = ("reference_field", "narration_token", "displaced_from_vendor")
+
+
+def _view(source: str, raw: Column, folded: bool = False) -> Column:
+    return F.struct(F.lit(source).alias("source"), normalise(raw, "reference.v2", without=["unicode_fold"] if folded else ()).alias("value"), digits_of(raw).alias("digits"), F.lit(source.startswith("displaced")).alias("displaced"))
+
+
+def _displaced(text: Column) -> Column:
+    """Tokens of a vendor's name that belong to a reference: with digits, numbers of three at least."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t.rlike(r"\p{N}") & (t.rlike(r"\p{L}") | (F.length(t) >= 3))))
+
+
+def admissible(views: Column, sources: tuple[str, ...] = ADMITTED) -> Column:
+    """The references of a row that are not blank and come from an admitted source."""
+    return F.filter(views, lambda v: (F.coalesce(v["value"], F.lit("")) != "") & v["source"].isin(*sources))
+
+
+def prepared_invoices(invoices: DataFrame) -> DataFrame:
+    """invoices with refs (source, value, digits, displaced), their reference views, and vendor_value, the canonical name.
+
+    Purchase orders count where the column purchase_order exists. Null fields have no view.
+    """
+    name = F.col("vendor_name") if "vendor_name" in invoices.columns else F.lit(None).cast("string")
+    own = [_view("reference_field", F.col("reference"))] + ([_view("purchase_order", F.col("purchase_order"))] if "purchase_order" in invoices.columns else [])
+    moved = F.transform(_displaced(F.coalesce(unicode_fold(name), F.lit(""))), lambda t: _view("displaced_from_vendor", t, True))
+    return invoices.withColumns({"refs": F.concat(F.array(*own), moved), "vendor_value": F.coalesce(normalise(name, "vendor.v1"), F.lit(""))})
+
+
+def prepared_payments(payments: DataFrame, vendors: DataFrame | None = None) -> DataFrame:
+    """payments with refs, the references that a narration quotes; vendor_value, the canonical words beside them; payer_id, the vendor of exactly that name.
+
+    vendors has vendor_id and vendor_name; of vendors that share a canonical name the least id owns it.
+    """
+    text = unicode_fold(F.coalesce(F.col("narration_raw"), F.lit("")))
+    refs = F.transform(quoted_references(text), lambda t: _view("narration_token", t, True))
+    rows = payments.withColumns({"refs": refs, "vendor_value": F.coalesce(normalise(names_in(text), "vendor.v1"), F.lit(""))})
+    if vendors is None:
+        return rows.withColumn("payer_id", F.lit(None).cast("string"))
+    known = aliases_from_vendors(vendors, normalise(F.col("vendor_name"), "vendor.v1")).select("key", F.col("vendor_id").alias("payer_id"))
+    return rows.join(known, F.nullif("vendor_value", F.lit("")) == F.col("key"), "left").drop("key")
 
 
 def vendor_score(a_id: Column, b_id: Column, a: Column, b: Column) -> Column:
-    """1 for one known vendor, else the best of three views of the names above a floor."""
-    x, y = normalise(a, "vendor.v1"), normalise(b, "vendor.v1")
-    fused = lambda c: F.regexp_replace(c, r"\s+", "")
-    best = F.greatest(compare("token_set_ratio", x, y), compare("token_set_ratio", fused(x), fused(y)), 0.9 * compare("partial_ratio", fused(x), fused(y)))
-    return F.when(a_id == b_id, 1.0).when((x == "") | (y == "") | x.isNull() | y.isNull(), 0.0).otherwise(rescaled(best, 0.55))
+    """1 for one known vendor, else how alike the canonical names are above a floor; blank names score 0."""
+    blank = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
+    return F.when(a_id == b_id, 1.0).when(blank, 0.0).otherwise(rescaled(names_alike(a, b), 0.55))
+
+
+def name_links(vendors: DataFrame, payers: DataFrame, grams: int = 5, rare: int = 4, least: float = 0.75) -> DataFrame:
+    """vendor_value, payer_value, alike: for each distinct payer's name the most alike vendors' names, from least on; ties stay.
+
+    Names meet that share one of their rarest q-grams of fused text, counted over both sides, so a name
+    that is cut, misspelt or run together meets its own, and common words alone bring none together.
+    """
+    cut_up = lambda rows, own: rows.select(F.col("vendor_value").alias(own)).where(F.col(own) != "").distinct().withColumn("gram", F.explode(_grams(F.col(own), grams)))
+    left, right = cut_up(vendors, "vendor_value"), cut_up(payers, "payer_value")
+    counts = left.select("gram").unionByName(right.select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = lambda rows, own: rows.join(counts, "gram").withColumn("turn", F.row_number().over(Window.partitionBy(own).orderBy("n", "gram"))).where(F.col("turn") <= rare).select(own, "gram")
+    found = rarest(left, "vendor_value").join(rarest(right, "payer_value"), "gram").select("vendor_value", "payer_value").distinct()
+    found = cut(found.withColumn("alike", names_alike(F.col("vendor_value"), F.col("payer_value")))).where(F.col("alike") >= least)
+    return found.withColumn("best", F.max("alike").over(Window.partitionBy("payer_value"))).where("alike = best").drop("best")
+
+
+def _grams(name: Column, n: int) -> Column:
+    fused = F.regexp_replace(name, r"\s+", "")
+    places = F.sequence(F.lit(1), F.greatest(F.length(fused) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(fused, i, F.lit(n))))
 
 
 def composite(scores: dict[str, Column]) -> Column:
@@ -69,16 +130,61 @@ def exact_pairs(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     return named.join(quoted, ["number", "amount"]).select(F.col("id").alias("invoice_id"), "payment_id").distinct()
 
 
-def candidate_pairs(invoices: DataFrame, payments: DataFrame) -> DataFrame:
-    """Pairs worth scoring: they quote one number, or one has exactly the other's amount.
+def _numbers(refs: Column) -> Column:
+    """The numbers of a row's canonical references, but years before them, and those fused to a year."""
+    words = F.flatten(F.transform(refs, lambda r: F.split(F.regexp_replace(r["value"], "(^| )(?:(?:19|20)[0-9]{2} )+", "$1"), " ")))
+    plain = F.filter(words, lambda w: w.rlike("^[0-9]+$"))
+    fused = F.transform(F.filter(words, lambda w: w.rlike("^(19|20)[0-9]{6,}$")), lambda w: F.regexp_replace(F.substring(w, 5, 99), "^0+([0-9])", "$1"))
+    return F.array_distinct(F.concat(plain, fused))
+
+
+def _drifts(number: Column) -> Column:
+    """A number and it without one digit: numbers a wrong, missing or added digit apart share one of these."""
+    places = F.sequence(F.lit(1), F.length(number))
+    less = F.transform(places, lambda i: F.concat(F.substr(number, F.lit(1), i - 1), F.substr(number, i + 1, F.lit(99))))
+    return F.array_distinct(F.concat(F.array(number), less))
+
+
+def _days(d: Column) -> Column:
+    return F.coalesce(F.unix_date(d.cast("date")), F.lit(NO_DAY))
 
-    With the default weights a pair without any reference score stays under the acceptance bar, so
-    no clear needs a pair that shares neither. exhaustive_pairs() has them all, for small ledgers.
+
+def candidate_pairs(invoices: DataFrame, payments: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """id, payment_id worth scoring, of prepared invoices and payments: the K best by money and date in each class.
+
+    Classes: everything; one quoted number, of any length; one vendor, by exact or similar name
+    (name_links). Beside them, numbers a digit apart (four digits or more) whose amounts are within half
+    of each other in the window. A pair that gets nothing from reference or vendor is in the top five
+    only if it is among the five best by money and date, so none of those is lost; pairs of one number
+    or vendor can't be lost to others unless K of their own class are better by money and date.
     """
-    named, quoted = reference_keys(invoices, "id", "reference"), reference_keys(payments, "payment_id", "narration_raw")
-    by_number = named.join(quoted, "number").select("id", "payment_id")
-    by_amount = invoices.join(payments, invoices.gross_paise == payments.amount_paise).select("id", "payment_id")
-    return by_number.unionByName(by_amount).distinct()
+    number = lambda rows: F.explode(F.transform(_numbers(F.col("refs")), lambda n: F.xxhash64(F.lit("number"), n)))
+    vendor = lambda c: F.xxhash64(F.lit("vendor"), c)
+    all_, zero = F.lit(0).cast("long"), F.col("class")
+    docs = invoices.select("id", F.col("gross_paise").alias("gross"), _days(F.col("invoice_date")).alias("day"), "refs", "vendor_id", "vendor_value")
+    lines = payments.where("amount_paise IS NOT NULL").select("payment_id", F.col("amount_paise").alias("amount"), _days(F.col("value_date")).alias("day"), "refs", "payer_id", "vendor_value")
+    doc, line = ("id", "gross", "day"), ("payment_id", "amount", "day")
+    asked = docs.select(all_.alias("class"), *doc).unionByName(docs.select(number(docs).alias("class"), *doc))
+    paid = lines.select(all_.alias("class"), *line).unionByName(lines.select(number(lines).alias("class"), *line))
+    asked = asked.unionByName(docs.where("vendor_id IS NOT NULL").select(vendor(F.col("vendor_id")).alias("class"), *doc))
+    paid = paid.unionByName(lines.where("payer_id IS NOT NULL").select(vendor(F.col("payer_id")).alias("class"), *line))
+    if names is not None:
+        named = docs.select("vendor_value", "vendor_id").where("vendor_id IS NOT NULL").distinct()
+        linked = names.join(named, "vendor_value").select("payer_value", "vendor_id").distinct()
+        paid = paid.unionByName(lines.join(linked, F.col("vendor_value") == F.col("payer_value")).select(vendor(F.col("vendor_id")).alias("class"), *line))
+    asked = asked.where(zero.isNotNull() & F.col("gross").isNotNull())
+    best = nearest_payments(asked.drop("id"), paid)
+    met = asked.join(best, ["class", "gross", "day"]).select("id", "payment_id")
+    return met.unionByName(_drifted_pairs(docs, lines)).distinct()
+
+
+def _drifted_pairs(docs: DataFrame, lines: DataFrame, least: int = 4) -> DataFrame:
+    keys = lambda rows, *own: rows.where(F.col("day") != NO_DAY).select(*own, F.explode(_numbers(F.col("refs"))).alias("number")).where(F.length("number") >= least).withColumn("drift", F.explode(_drifts(F.col("number"))))
+    stretch = F.floor(F.col("day") / WINDOW_DAYS).cast("int")
+    asked = keys(docs, "id", "gross", "day").withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
+    paid = keys(lines, "payment_id", "amount", F.col("day")).withColumn("stretch", stretch).withColumnsRenamed({"day": "paid_day", "number": "quoted"})
+    near = (F.abs(F.col("paid_day") - F.col("day")) <= WINDOW_DAYS) & (F.abs(F.col("amount") - F.col("gross")) <= F.greatest(F.lit(50_000), F.abs("gross") / 2))
+    return asked.join(paid, ["drift", "stretch"]).where(near & (F.col("number") != F.col("quoted"))).select("id", "payment_id").distinct()
 
 
 def exhaustive_pairs(invoices: DataFrame, payments: DataFrame) -> DataFrame:
@@ -86,18 +192,47 @@ def exhaustive_pairs(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     return invoices.select("id").crossJoin(payments.select("payment_id"))
 
 
-def scored_pairs(pairs: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:
-    """The four scores and the composite of pairs (id, payment_id)."""
-    canonical = lambda c, name: (normalise(F.col(c), "reference.v2").alias(f"{name}_canonical"), digits_of(F.col(c)).alias(f"{name}_digits"))
-    rows = pairs.join(invoices.select("*", *canonical("reference", "invoice")), "id").join(payments.select("*", *canonical("narration_raw", "payment")), "payment_id")
-    scores = {
-        "amount": amount_score(F.col("gross_paise"), F.col("amount_paise")),
-        "reference": reference_score(F.col("invoice_canonical"), F.col("payment_canonical"), F.col("invoice_digits"), F.col("payment_digits")),
-        "date": date_score(F.col("invoice_date"), F.col("value_date")),
-        "vendor": F.lit(0.0),
-    }
-    rows = rows.select("*", *[v.alias(f"{k}_score") for k, v in scores.items()])
-    return rows.withColumn("composite", composite({k: F.col(f"{k}_score") for k in scores}))
+def _evidence(pairs: DataFrame, invoices: DataFrame, payments: DataFrame) -> DataFrame:
+    """Narrow rows of pairs with the scores of amount, reference and date; vendors still open."""
+
+    def side(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        refs = rows.select(*columns, admissible(F.col("refs")).alias(f"{name}_refs"), F.col("vendor_value").alias(f"{name}_vendor"))
+        return refs.withColumns({f"{name}_{part}": F.col(f"{name}_refs")[part] for part in ("value", "digits")})
+
+    left = side(invoices, "invoice", "id", "gross_paise", "invoice_date", "vendor_id")
+    right = side(payments, "payment", "payment_id", "amount_paise", "value_date", "payer_id")
+    rows = pairs.join(right, "payment_id").join(left, "id")
+    rows = rows.withColumn("match", reference_match("invoice_value", "invoice_digits", "payment_value", "payment_digits"))
+    of = lambda side, place, part: F.get(f"{side}_refs", F.col(f"match.{place}"))[part]
+    displaced = F.coalesce(of("invoice", "a", "displaced"), F.lit(False)) | F.coalesce(of("payment", "b", "displaced"), F.lit(False))
+    return rows.select(
+        "id", "payment_id", "gross_paise", "amount_paise", "invoice_date", "value_date", "vendor_id", "payer_id", "invoice_vendor", "payment_vendor",
+        F.col("match").isNull().alias("reference_absent"), displaced.alias("displaced"),
+        F.col("match.observed").alias("reference_observed"), F.coalesce("match.exact", F.lit(False)).alias("reference_exact"), F.coalesce("match.carried", F.lit(False)).alias("reference_carried"),
+        of("invoice", "a", "value").alias("invoice_reference"), of("payment", "b", "value").alias("payment_reference"),
+        amount_score(F.col("gross_paise"), F.col("amount_paise")).alias("amount_score"),
+        (F.coalesce("match.score", F.lit(0.0)) * F.when(displaced, DISPLACED).otherwise(1.0)).alias("reference_score"),
+        date_score(F.col("invoice_date"), F.col("value_date")).alias("date_score"),
+    )
+
+
+def scored_pairs(pairs: DataFrame, invoices: DataFrame, payments: DataFrame, top: int | None = None) -> DataFrame:
+    """The four scores and the composite of pairs (id, payment_id) of prepared rows, and the best reference pair of each.
+
+    With top, pairs that can't be among the top of their document, whatever their vendors' names, are left out before names are compared.
+    """
+    rows = _evidence(pairs, invoices, payments)
+    scores = {k: F.col(f"{k}_score") for k in ("amount", "reference", "date")}
+    if top:
+        known = F.coalesce((F.col("vendor_id") == F.col("payer_id")).cast("double"), F.lit(0.0))
+        rows = rows.withColumn("surely", composite(scores | {"vendor": known}))
+        order = Window.partitionBy("id").orderBy(F.col("surely").desc())
+        bar = F.nth_value("surely", top).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        possible = F.col("surely") + F.when(F.col("vendor_id") == F.col("payer_id"), 0.0).otherwise(WEIGHTS["vendor"])
+        rows = cut(rows.withColumn("bar", F.coalesce(bar, F.lit(CONSIDER))).where(possible >= F.greatest("bar", F.lit(CONSIDER))).drop("surely", "bar"))
+    vendor = vendor_score(F.col("vendor_id"), F.col("payer_id"), F.col("invoice_vendor"), F.col("payment_vendor"))
+    rows = rows.withColumn("vendor_score", vendor)
+    return rows.withColumn("composite", composite(scores | {"vendor": F.col("vendor_score")}))
 
 
 def ranked(pairs: DataFrame, consider: float = CONSIDER, top: int = TOP) -> DataFrame:

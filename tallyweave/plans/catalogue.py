@@ -228,9 +228,24 @@ def contested_payments_by_digits(spark, sf_dir):
     return scoring.contested(scoring.ranked(_digit_scored(spark, sf_dir)), accept=0.7)
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
+def _prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prepared invoices and payments, and the names of vendors and payers that are alike; written once a session."""
     inv, pay = ledger.invoices(spark, sf_dir), ledger.payments(spark, sf_dir)
-    return scoring.ranked(scoring.scored_pairs(scoring.candidate_pairs(inv, pay), inv, pay))
+    left = ledger.kept(spark, sf_dir, "prepared_invoices", lambda: scoring.prepared_invoices(inv))
+    right = ledger.kept(spark, sf_dir, "prepared_payments", lambda: scoring.prepared_payments(pay, inv.select("vendor_id", "vendor_name").distinct()))
+    return left, right, ledger.kept(spark, sf_dir, "name_links", lambda: scoring.name_links(left, right))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    """The ranked candidates of each invoice; written once a session."""
+
+    def rows() -> DataFrame:
+        left, right, names = _prepared(spark, sf_dir)
+        ranked = scoring.ranked(scoring.scored_pairs(scoring.candidate_pairs(left, right, names), left, right, top=scoring.TOP))
+        own = [c for c in ledger.invoices(spark, sf_dir).columns if c not in ranked.columns]
+        return ranked.join(left.select("id", *own), "id")
+
+    return ledger.kept(spark, sf_dir, "candidates", rows)
 
 
 @query("rank_candidates")

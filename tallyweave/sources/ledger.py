@@ -6,13 +6,15 @@ rounding, split and partial settlements, unpaid documents, copies, tax, distribu
 defects, credit notes, and monthly series. Money is integer minor units.
 
 Each of a folder's two tables is derived once per session and written as parquet to the shared
-checkpoint folder, so that queries scan the columns they need and never derive it anew.
+checkpoint folder, so that queries scan the columns they need and never derive it anew; so are
+prepared rows and ranked candidates, which many queries share.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +43,9 @@ every_doc AS (
 taxed AS (
   SELECT *, gross_paise - true_net AS tax, (v % 2 = 0) <> (j % 19 = 4) AS intra FROM every_doc),
 inv AS (
-  SELECT id, j, 'VEN-' || lpad(CAST(v AS VARCHAR(12)), 7, '0') AS vendor_id, reference, invoice_date, received_date,
+  SELECT id, j, 'VEN-' || lpad(CAST(v AS VARCHAR(12)), 7, '0') AS vendor_id,
+         translate(CAST(v * 7919 + 1000003 AS VARCHAR(16)), '0123456789', 'korstinlea') || CASE v % 6 WHEN 0 THEN ' Sundar ' WHEN 1 THEN ' Meridian ' WHEN 2 THEN ' Northgate ' WHEN 3 THEN ' Lotus ' WHEN 4 THEN ' Harbour ' ELSE ' Pioneer ' END
+           || CASE v % 5 WHEN 0 THEN 'Engineering' WHEN 1 THEN 'Traders' WHEN 2 THEN 'Packaging' WHEN 3 THEN 'Logistics' ELSE 'Chemicals' END || CASE v % 3 WHEN 0 THEN ' Pvt Ltd' WHEN 1 THEN ' LLP' ELSE '' END AS vendor_name, reference, invoice_date, received_date,
          invoice_date + CAST(30 AS INT) AS due_date,
          CASE WHEN j % 13 = 4 THEN substr(CAST(invoice_date + 31 AS VARCHAR(10)), 1, 7) ELSE substr(CAST(invoice_date AS VARCHAR(10)), 1, 7) END AS period,
          gross_paise, CASE WHEN j % 29 = 6 THEN true_net - 75000 ELSE true_net END AS net_paise, tax AS tax_total,
@@ -51,7 +55,7 @@ inv AS (
          CAST(0 AS BIGINT) AS cess, is_credit_note, recurrence, copy
   FROM taxed),
 line AS (
-  SELECT i.id AS settles, i.j, i.vendor_id, i.reference, i.received_date + CAST(3 + i.j % 40 AS INT) AS value_date, i.gross_paise, i.net_paise, p.part
+  SELECT i.id AS settles, i.j, i.vendor_id, i.vendor_name, i.reference, i.received_date + CAST(3 + i.j % 40 AS INT) AS value_date, i.gross_paise, i.net_paise, p.part
   FROM inv i JOIN (SELECT 1 AS part UNION ALL SELECT 2) p ON p.part = 1 OR i.j % 10 = 4
   WHERE i.copy IN (0, 3) AND NOT i.is_credit_note AND i.j % 11 <> 10),
 pay AS (
@@ -63,7 +67,8 @@ pay AS (
                     WHEN 1 THEN 'RTGS CR/' || replace(reference, '/', '-') || '/PYMT'
                     WHEN 2 THEN 'IMPS/' || replace(reference, '/', '') || '/AP RUN'
                     WHEN 3 THEN 'PAYMENT AGAINST INVOICE NO ' || lower(reference)
-                    ELSE 'RTGS INWARD CLEARING UTR' || CAST(200000000 + j AS VARCHAR(12)) || CASE WHEN j % 10 = 4 THEN ' ' || reference ELSE '' END END AS narration_raw,
+                    ELSE 'RTGS INWARD CLEARING UTR' || CAST(200000000 + j AS VARCHAR(12)) || CASE WHEN j % 10 = 4 THEN ' ' || reference ELSE '' END END
+           || CASE j % 6 WHEN 0 THEN ' ' || upper(vendor_name) WHEN 1 THEN ' ' || substr(upper(vendor_name), 1, 16) WHEN 2 THEN ' ' || replace(lower(vendor_name), 'a', '') WHEN 3 THEN ' ' || replace(vendor_name, ' ', '') ELSE '' END AS narration_raw,
          settles, 'TXN' || substr(settles, 5, 13) || '-' || CAST(part AS VARCHAR(2)) AS bank_transaction_id
   FROM line)
 """
@@ -95,18 +100,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def _kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, if they come from fewer input splits than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of a folder, computed once a session and written to the shared folder."""
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}-{name}"
-        _select(spark, sf_dir, f"SELECT * FROM {name}").write.parquet(path)
+        spread(rows()).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "inv")
+    return kept(spark, sf_dir, "inv", lambda: _select(spark, sf_dir, "SELECT * FROM inv"))
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "pay")
+    return kept(spark, sf_dir, "pay", lambda: _select(spark, sf_dir, "SELECT * FROM pay"))
