@@ -183,20 +183,7 @@ def subset_sum(values: list[int], target: int, limit: int = 2) -> tuple[list[int
     return masks, int((left[fits] + right[last[fits] - 1]).max()) if fits.any() else 0
 
 
-# --- unmatched documents, and the decision ---------------------------------------------------
-
-
-def unmatched(invoices: DataFrame, candidates: DataFrame, spoken: DataFrame) -> DataFrame:
-    """Documents that nothing clears and of which no other family speaks: why."""
-    best = candidates.groupBy("id").agg(
-        F.max("composite").alias("best"),
-        F.bool_or(amount_within(F.col("gross_paise"), F.col("amount_paise"))).alias("reconciles"),
-        F.bool_or(amount_within(F.col("gross_paise"), F.col("amount_paise")) & (F.col("reference_score") > 0)).alias("named"),
-    )
-    rows = invoices.select("id").join(best, "id", "left").where(F.coalesce(F.col("best") < ACCEPT, F.lit(True))).join(spoken.select(F.col("invoice_id").alias("id")), "id", "left_anti")
-    cause = F.when(F.col("best").isNull(), "no_candidate_retained").when(~F.col("reconciles"), "nothing_reconciles_the_money").when(F.col("named"), "nothing_reached_the_bar").otherwise("no_reference_recovered")
-    type_ = F.when(cause == "no_reference_recovered", "no_reference").otherwise("matching")
-    return rows.select(F.col("id").alias("invoice_id"), type_.alias("hold_type"), cause.alias("cause"))
+# --- the decision ----------------------------------------------------------------------------
 
 
 def policies(spark) -> DataFrame:

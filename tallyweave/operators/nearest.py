@@ -98,7 +98,7 @@ def search(ask: dict[str, np.ndarray], pay: dict[str, np.ndarray], k: int = K, l
 
 
 def _columns(table: pa.Table, *names: str) -> dict[str, np.ndarray]:
-    return {c: table.column(c).to_numpy(zero_copy_only=False) for c in names}
+    return {c: table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
 
 
 def _in_cell(asked: pa.Table, paid: pa.Table) -> pa.Table:
@@ -111,7 +111,7 @@ def _in_cell(asked: pa.Table, paid: pa.Table) -> pa.Table:
     if not len(order) or not len(ask["class"]):
         return _FOUND.empty_table()
     a, p, score, amount, gap = search(ask, {c: v[order] for c, v in (pay | {"id_rank": rank}).items()})
-    columns = [ask["class"][a], ask["gross"][a], ask["day"][a], ids.take(pa.array(order[p])), score, amount, gap.astype(np.int64)]
+    columns = [ask["class"][a], ask["gross"][a], ask["day"][a].astype(np.int32), ids.take(pa.array(order[p])), score, amount, gap.astype(np.int64)]
     return pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_FOUND)
 
 

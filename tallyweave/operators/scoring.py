@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.reference_data import AMOUNT_CAP, WINDOW_DAYS
+from tallyweave.functions.reference_data import WINDOW_DAYS
 from tallyweave.functions.similarity import names_alike, reference_match, rescaled
 from tallyweave.operators.narration import aliases_from_vendors, quoted_references
 from tallyweave.operators.nearest import K, NO_DAY, nearest_payments
@@ -207,7 +207,7 @@ def _evidence(pairs: DataFrame, invoices: DataFrame, payments: DataFrame) -> Dat
     displaced = F.coalesce(of("invoice", "a", "displaced"), F.lit(False)) | F.coalesce(of("payment", "b", "displaced"), F.lit(False))
     return rows.select(
         "id", "payment_id", "gross_paise", "amount_paise", "invoice_date", "value_date", "vendor_id", "payer_id", "invoice_vendor", "payment_vendor",
-        F.col("match").isNull().alias("reference_absent"), displaced.alias("displaced"),
+        F.col("match").isNull().alias("reference_absent"), displaced.alias("displaced"), (F.size("payment_refs") > 0).alias("recovered"),
         F.col("match.observed").alias("reference_observed"), F.coalesce("match.exact", F.lit(False)).alias("reference_exact"), F.coalesce("match.carried", F.lit(False)).alias("reference_carried"),
         of("invoice", "a", "value").alias("invoice_reference"), of("payment", "b", "value").alias("payment_reference"),
         amount_score(F.col("gross_paise"), F.col("amount_paise")).alias("amount_score"),
@@ -252,20 +252,12 @@ def contested(candidates: DataFrame, accept: float = ACCEPT) -> DataFrame:
     return first.groupBy("payment_id").agg(F.count("*").alias("claimants"), F.array_join(F.array_sort(F.collect_list("id")), "+").alias("invoice_ids")).where("claimants > 1")
 
 
-def pair_conflicts(gross: Column, settled: Column, reference: Column, gap: Column) -> Column:
-    """Codes of what speaks against a pair, in a fixed order."""
-    marks = [
-        F.when(reference == 0, "reference_mismatch"),
-        F.when(F.abs(gross) > AMOUNT_CAP, "amount_over_cap"),
-        F.when(~amount_within(gross, settled), "amount_over_tolerance"),
-        F.when(settled < gross, "residual_unsettled"),
-        F.when(F.coalesce(F.abs(gap) > WINDOW_DAYS, F.lit(True)), "date_outside_window"),
-    ]
-    return F.array_compact(F.array(*marks))
-
-
 def naive_exact(invoices: DataFrame, payments: DataFrame) -> DataFrame:
-    """The baseline: the least payment of exactly the invoice's amount, else nothing."""
-    least = payments.groupBy(F.col("amount_paise").alias("gross_paise")).agg(F.min("payment_id").alias("payment_id"))
-    out = invoices.select("id", "gross_paise").join(least, "gross_paise", "left")
+    """The baseline: the least payment whose extracted reference is exactly the invoice's, else the least of exactly its amount, else nothing.
+
+    Blank and null references equal nothing. Nothing is normalised, and a payment may be taken more than once.
+    """
+    quoted = payments.where("reference_extracted <> ''").groupBy(F.col("reference_extracted").alias("reference")).agg(F.min("payment_id").alias("quoted"))
+    same = payments.groupBy(F.col("amount_paise").alias("gross_paise")).agg(F.min("payment_id").alias("same"))
+    out = invoices.select("id", "reference", "gross_paise").join(quoted, "reference", "left").join(same, "gross_paise", "left").withColumn("payment_id", F.coalesce("quoted", "same"))
     return out.select(F.col("id").alias("invoice_id"), F.when(F.col("payment_id").isNotNull(), "auto_clear").otherwise("unmatched").alias("action"), "payment_id")

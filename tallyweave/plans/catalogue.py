@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.reference_data import ABBREVIATIONS, AMOUNT_CAP, HOLD_POLICIES, LEGAL_SUFFIXES, NOISE_TOKENS, REACH, REFERENCE_PREFIXES, ROUTING, TOLERANCE_KINDS, UNREACHED
 from tallyweave.functions.similarity import digit_agreement
-from tallyweave.operators import cardinality, holds, normalise, review, scoring
+from tallyweave.operators import cardinality, conflicts, holds, normalise, review, scoring
 from tallyweave.sources import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,7 +137,10 @@ def exact_pairs(spark, sf_dir):
     return scoring.exact_pairs(ledger.invoices(spark, sf_dir), ledger.payments(spark, sf_dir))
 
 
-@query("naive_exact", _with(" SELECT id AS invoice_id, CASE WHEN m.payment_id IS NULL THEN 'unmatched' ELSE 'auto_clear' END AS action, m.payment_id FROM inv LEFT JOIN (SELECT amount_paise, min(payment_id) AS payment_id FROM pay GROUP BY 1) m ON m.amount_paise = gross_paise"))
+_NAIVE = "naive AS (SELECT id AS invoice_id, CASE WHEN coalesce(r.payment_id, m.payment_id) IS NULL THEN 'unmatched' ELSE 'auto_clear' END AS action, coalesce(r.payment_id, m.payment_id) AS payment_id FROM inv LEFT JOIN (SELECT reference_extracted, min(payment_id) AS payment_id FROM pay WHERE reference_extracted <> '' GROUP BY 1) r ON r.reference_extracted = inv.reference LEFT JOIN (SELECT amount_paise, min(payment_id) AS payment_id FROM pay GROUP BY 1) m ON m.amount_paise = gross_paise)"
+
+
+@query("naive_exact", _with(" SELECT * FROM naive", _NAIVE))
 def naive_exact(spark, sf_dir):
     return scoring.naive_exact(ledger.invoices(spark, sf_dir), ledger.payments(spark, sf_dir))
 
@@ -260,9 +263,9 @@ def contested_payments(spark, sf_dir):
 
 @query("candidates")
 def candidates(spark, sf_dir):
-    gap = F.datediff("value_date", "invoice_date")
-    conflicts = F.array_join(scoring.pair_conflicts(F.col("gross_paise"), F.col("amount_paise"), F.col("reference_score"), gap), "+")
-    return _candidates(spark, sf_dir).select("id", "payment_id", F.round("composite", 9).alias("composite"), "rank", "tied", conflicts.alias("conflicts"))
+    """Ranked candidates with what speaks against each."""
+    scores = [F.round(f"{k}_score", 9).alias(f"{k}_score") for k in scoring.WEIGHTS]
+    return _candidates(spark, sf_dir).select("id", "payment_id", F.round("composite", 9).alias("composite"), *scores, "rank", "tied", conflicts.pair_conflicts().alias("conflicts"))
 
 
 # --- holds -----------------------------------------------------------------------------------
@@ -374,7 +377,7 @@ def cardinality_residuals(spark, sf_dir):
 @query("unmatched_documents")
 def unmatched_documents(spark, sf_dir):
     inv, ranked = ledger.invoices(spark, sf_dir), _candidates(spark, sf_dir)
-    return holds.unmatched(inv, ranked, _spoken(spark, sf_dir, inv, ranked))
+    return conflicts.unmatched(inv, ranked, _spoken(spark, sf_dir, inv, ranked))
 
 
 _HOLDS = f"""{_ESTABLISHED}, {_DELTAS}, {_TAXV}, {_SIGNALS}, {_SERIES}, {_DUPLICATES},
@@ -417,25 +420,38 @@ def decisions_by_digits(spark, sf_dir):
     return _decided_by_digits(spark, sf_dir)
 
 
-def _spoken(spark, sf_dir, inv, ranked) -> DataFrame:
-    """The holds of all families but the last, which only speaks of documents that no other does."""
+def _proposals(spark, sf_dir, inv, ranked) -> DataFrame:
+    """invoice_id, hold_type, conflicts of all families but the last, which only speaks of documents that no other does."""
     priced = holds.price_variance(ranked).select("invoice_id", F.lit("price_variance").alias("hold_type"))
-    parts = cardinality_residuals(spark, sf_dir).select("invoice_id", "hold_type")
-    return holds.document_holds(inv).unionByName(priced).unionByName(parts).distinct()
+    own = conflicts.with_family_conflicts(holds.document_holds(inv).unionByName(priced))
+    parts = cardinality_residuals(spark, sf_dir).select("invoice_id", "hold_type", conflicts.parsed(F.col("conflicts")).alias("conflicts"))
+    return own.unionByName(parts)
+
+
+def _spoken(spark, sf_dir, inv, ranked) -> DataFrame:
+    return _proposals(spark, sf_dir, inv, ranked).select("invoice_id", "hold_type").distinct()
 
 
 def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Invoices, their ranked candidates and the holds of all families."""
-    inv = ledger.invoices(spark, sf_dir)
-    ranked = _candidates(spark, sf_dir)
-    spoken = _spoken(spark, sf_dir, inv, ranked)
-    rest = holds.unmatched(inv, ranked, spoken).select("invoice_id", "hold_type")
-    return inv, ranked, spoken.unionByName(rest).distinct()
+    """Invoices, their ranked candidates and the proposals of all families, with conflicts; written once a session."""
+    inv, ranked = ledger.invoices(spark, sf_dir), _candidates(spark, sf_dir)
+    spoken = ledger.kept(spark, sf_dir, "proposals", lambda: _proposals(spark, sf_dir, inv, ranked))
+    rest = ledger.kept(spark, sf_dir, "unmatched", lambda: conflicts.unmatched(inv, ranked, spoken).select("invoice_id", "hold_type", "conflicts"))
+    return inv, ranked, spoken.unionByName(rest)
 
 
 @query("decisions")
 def decisions(spark, sf_dir):
-    return holds.decisions(*_run(spark, sf_dir))
+    """What the run decides of each document, with the conflicts that it rests on and the worst severity of a hold."""
+    inv, ranked, proposals = _run(spark, sf_dir)
+    return conflicts.decided_with_conflicts(holds.decisions(inv, ranked, proposals.select("invoice_id", "hold_type").distinct()), ranked, proposals)
+
+
+@query("case_conflicts")
+def case_conflicts(spark, sf_dir):
+    """One row per conflict of a held document, in order."""
+    cases = conflicts.case_conflicts(_run(spark, sf_dir)[2])
+    return cases.select("invoice_id", "severity", F.posexplode("conflicts").alias("turn", "conflict")).select("invoice_id", F.col("severity").alias("case_severity"), "turn", "conflict.*")
 
 
 # --- evaluation ------------------------------------------------------------------------------
@@ -554,7 +570,7 @@ def age_buckets(spark, sf_dir):
     return review.age_buckets(_queue(spark, sf_dir), "1998-08-10")
 
 
-@query("run_diff_by_digits", _with(" SELECT d.invoice_id, CASE WHEN m.payment_id IS NULL THEN 'unmatched' ELSE 'auto_clear' END AS before, d.action AS after FROM decided d JOIN inv i ON i.id = d.invoice_id LEFT JOIN (SELECT amount_paise, min(payment_id) AS payment_id FROM pay GROUP BY 1) m ON m.amount_paise = gross_paise WHERE d.action <> CASE WHEN m.payment_id IS NULL THEN 'unmatched' ELSE 'auto_clear' END", _PAIRS, _AGREE, _RANKED, _HOLDS, _DECIDED))
+@query("run_diff_by_digits", _with(" SELECT d.invoice_id, n.action AS before, d.action AS after FROM decided d JOIN naive n ON n.invoice_id = d.invoice_id WHERE d.action <> n.action", _PAIRS, _AGREE, _RANKED, _HOLDS, _DECIDED, _NAIVE))
 def run_diff_by_digits(spark, sf_dir):
     return review.run_diff(naive_exact(spark, sf_dir), _decided_by_digits(spark, sf_dir))
 

@@ -233,8 +233,14 @@ def reviewer_activity(spark, sf_dir):
     return _records(spark, sf_dir, "decision").groupBy("run_id").agg(F.count("*").alias("decisions"), F.countDistinct("reviewer").alias("reviewers"), F.countDistinct("case_id").alias("cases"))
 
 
-@query("run_diff_totals", _led(""" SELECT before, action AS after, count(*) AS documents, CAST(sum(gross_paise) AS BIGINT) AS money_paise FROM (SELECT d.action, CASE WHEN m.payment_id IS NULL THEN 'unmatched' ELSE 'auto_clear' END AS before, gross_paise FROM decided d JOIN inv i ON i.id = d.invoice_id
-    LEFT JOIN (SELECT amount_paise, min(payment_id) AS payment_id FROM pay GROUP BY 1) m ON m.amount_paise = gross_paise) WHERE before <> action GROUP BY 1, 2""", c._PAIRS, c._AGREE, c._RANKED, c._HOLDS, c._DECIDED))
+@query(
+    "run_diff_totals",
+    _led(
+        """ SELECT n.action AS before, d.action AS after, count(*) AS documents, CAST(sum(gross_paise) AS BIGINT) AS money_paise
+        FROM decided d JOIN inv i ON i.id = d.invoice_id JOIN naive n ON n.invoice_id = d.invoice_id WHERE n.action <> d.action GROUP BY 1, 2""",
+        c._PAIRS, c._AGREE, c._RANKED, c._HOLDS, c._DECIDED, c._NAIVE,
+    ),
+)
 def run_diff_totals(spark, sf_dir):
     rows = c.run_diff_by_digits(spark, sf_dir).join(ledger.invoices(spark, sf_dir).select(F.col("id").alias("invoice_id"), "gross_paise"), "invoice_id")
     return rows.groupBy("before", "after").agg(F.count("*").alias("documents"), F.sum("gross_paise").alias("money_paise"))

@@ -112,12 +112,11 @@ def review_precision(spark, sf_dir):
 @query(
     "regression_gate_by_digits",
     c._with(
-        """, naive AS (SELECT i.id AS invoice_id, m.payment_id FROM inv i LEFT JOIN (SELECT amount_paise, min(payment_id) AS payment_id FROM pay GROUP BY 1) m ON m.amount_paise = i.gross_paise),
-        base AS (SELECT count(*) FILTER (payment_id IS NOT NULL) AS cleared, count(*) FILTER (payment_id IS NOT NULL AND payment_id IS DISTINCT FROM true_payment_ids) AS wrong, count(*) AS total FROM naive JOIN truth USING (invoice_id))
+        """, base AS (SELECT count(*) FILTER (payment_id IS NOT NULL) AS cleared, count(*) FILTER (payment_id IS NOT NULL AND payment_id IS DISTINCT FROM true_payment_ids) AS wrong, count(*) AS total FROM naive JOIN truth USING (invoice_id))
         SELECT NOT (false_clears > wrong AND coverage_strict <= round(cleared / CAST(b.total AS DOUBLE), 9)) AS clears_ok,
         round(coalesce(false_clears / CAST(nullif(auto_cleared, 0) AS DOUBLE), 0) - coalesce(wrong / CAST(nullif(cleared, 0) AS DOUBLE), 0), 9) AS rate_change,
         round(coalesce(false_clears / CAST(nullif(auto_cleared, 0) AS DOUBLE), 0) - coalesce(wrong / CAST(nullif(cleared, 0) AS DOUBLE), 0), 9) <= 0.02 AS rate_ok FROM totals CROSS JOIN base b""",
-        *c._JUDGED, c._TOTALS,
+        *c._JUDGED, c._TOTALS, c._NAIVE,
     ),
 )
 def regression_gate_by_digits(spark, sf_dir):

@@ -69,7 +69,7 @@ pay AS (
                     WHEN 3 THEN 'PAYMENT AGAINST INVOICE NO ' || lower(reference)
                     ELSE 'RTGS INWARD CLEARING UTR' || CAST(200000000 + j AS VARCHAR(12)) || CASE WHEN j % 10 = 4 THEN ' ' || reference ELSE '' END END
            || CASE j % 6 WHEN 0 THEN ' ' || upper(vendor_name) WHEN 1 THEN ' ' || substr(upper(vendor_name), 1, 16) WHEN 2 THEN ' ' || replace(lower(vendor_name), 'a', '') WHEN 3 THEN ' ' || replace(vendor_name, ' ', '') ELSE '' END AS narration_raw,
-         settles, 'TXN' || substr(settles, 5, 13) || '-' || CAST(part AS VARCHAR(2)) AS bank_transaction_id
+         CASE WHEN j % 5 = 0 OR j % 10 = 4 THEN reference END AS reference_extracted, settles, 'TXN' || substr(settles, 5, 13) || '-' || CAST(part AS VARCHAR(2)) AS bank_transaction_id
   FROM line)
 """
 

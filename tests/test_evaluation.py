@@ -9,12 +9,9 @@ from tallyweave.sources import ledger
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_evaluation_judges_the_decisions(spark, tmp_path, monkeypatch):
+def test_evaluation_judges_the_decisions(spark, tmp_path):
     """Each query over the run against a count in Python over rows of decisions and candidates."""
     spark.read.parquet(f"{FOLDER}/orders.parquet").orderBy("o_orderkey").limit(90).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
-    kept = [spark.createDataFrame(df.toPandas().astype(object).where(lambda x: x.notna(), None).values.tolist(), df.schema) for df in catalogue._run(spark, str(tmp_path))]
-    monkeypatch.setattr(catalogue, "_run", lambda *_: kept)  # computed once: the plan of all hold families is wide
-    monkeypatch.setattr(catalogue, "_candidates", lambda *_: kept[1])
     rows = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
     run, inv = {r["invoice_id"]: r for r in rows("decisions")}, {r["id"]: r for r in ledger.invoices(spark, str(tmp_path)).collect()}
     paid = {}
@@ -38,10 +35,13 @@ def test_evaluation_judges_the_decisions(spark, tmp_path, monkeypatch):
             proposed[h] = proposed.get(h, 0) + 1
     got = {r["hold_type"]: r["proposed"] for r in rows("eval_hold_types")}
     assert got["price_variance"] > 0 and all(n == proposed.get(h, 0) for h, n in got.items())
-    least = {}
+    least, quoted = {}, {}
     for p in ledger.payments(spark, str(tmp_path)).collect():
         least[p["amount_paise"]] = min(least.get(p["amount_paise"], p["payment_id"]), p["payment_id"])
-    before = {i: "auto_clear" if r["gross_paise"] in least else "unmatched" for i, r in inv.items()}
+        if p["reference_extracted"]:
+            quoted[p["reference_extracted"]] = min(quoted.get(p["reference_extracted"], p["payment_id"]), p["payment_id"])
+    naive = {i: quoted.get(r["reference"], least.get(r["gross_paise"])) for i, r in inv.items()}
+    before = {i: "auto_clear" if p else "unmatched" for i, p in naive.items()}
     assert {(r["invoice_id"], r["before"], r["after"]) for r in rows("run_diff")} == {(i, before[i], r["action"]) for i, r in run.items() if r["action"] != before[i]}
     files = {r["invoice_id"]: (r["hold_types"], r["payment_id"]) for r in rows("dossiers")}
     assert files == {i: (r["hold_types"], first[i]["payment_id"] if i in first else None) for i, r in run.items() if r["hold_types"]}
@@ -50,6 +50,13 @@ def test_evaluation_judges_the_decisions(spark, tmp_path, monkeypatch):
         if r["composite"] >= scoring.ACCEPT:
             claims.setdefault(r["payment_id"], []).append(i)
     assert {r["payment_id"]: r["invoice_ids"] for r in rows("contested_payments")} == {p: "+".join(sorted(x)) for p, x in claims.items() if len(x) > 1}
-    naive_wrong = [i for i, r in inv.items() if r["gross_paise"] in least and paid.get(i) != [least[r["gross_paise"]]]]
+    naive_wrong = [i for i, p in naive.items() if p and paid.get(i) != [p]]
+    held = {}
+    for r in rows("case_conflicts"):
+        held.setdefault(r["invoice_id"], []).append((r["turn"], r["code"], r["severity"], r["case_severity"]))
+    assert held.keys() == {i for i, r in run.items() if r["action"] == "hold"}  # none is held without a conflict
+    for i, found in held.items():
+        assert [c["code"] for c in run[i]["conflicts"]] == [code for _, code, *_ in sorted(found)] and len(set(run[i]["conflicts"])) == len(found)
+        assert {x[3] for x in found} == {max((s for _, _, s, _ in found), key=["advisory", "material", "blocking"].index)} == {run[i]["severity"]}
     rate = len(wrong) / max(len(cleared), 1) - len(naive_wrong) / max(sum(x == "auto_clear" for x in before.values()), 1)
     assert rows("regression_gate")[0]["rate_change"] == pytest.approx(rate, abs=1e-8)
