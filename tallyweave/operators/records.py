@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.reference_data import HOLD_POLICIES, REACH, STRATA
+from tallyweave.operators.normalise import normalise
 
 # --- wire forms and clauses ------------------------------------------------------------------
 
@@ -146,6 +147,29 @@ def aliases_of_rules(rules: DataFrame, base: DataFrame) -> DataFrame:
     return base.join(own, "key", "full").select("key", F.coalesce("ruled", "vendor_id").alias("vendor_id"))
 
 
+def canonical_forms(rules: DataFrame, vendors: DataFrame) -> DataFrame:
+    """key, canonical, vendor_id, rule_id: what active rules make of a name or a reference, the last rule of a key winning.
+
+    A vendor_alias rule pins its vendor, and the key reads as that vendor's name; one whose vendor isn't
+    known (vendor_id, vendor_name) does nothing. A reference_pattern rule turns one reference into another
+    (canonical_form). Keys are the canonical forms of raw values; blank ones do nothing.
+    """
+    own = rules.where("active AND kind IN ('vendor_alias', 'reference_pattern')").join(vendors.select(F.col("vendor_id").alias("canonical_vendor_id"), "vendor_name"), "canonical_vendor_id", "left")
+    alias = F.col("kind") == "vendor_alias"
+    key = F.when(alias, normalise(F.col("raw_value"), "vendor.v1")).otherwise(normalise(F.col("pattern"), "reference.v2"))
+    form = F.when(alias, normalise(F.col("vendor_name"), "vendor.v1")).otherwise(normalise(F.col("canonical_form"), "reference.v2"))
+    forms = own.select("kind", key.alias("key"), form.alias("canonical"), F.when(alias, F.col("canonical_vendor_id")).alias("vendor_id"), "rule_id", "created_at").where("key <> '' AND canonical IS NOT NULL")
+    last = F.struct("created_at", "rule_id")
+    return forms.groupBy("kind", "key").agg(*[F.max_by(c, last).alias(c) for c in ("canonical", "vendor_id", "rule_id")])
+
+
+def ruled(rows: DataFrame, value: str, forms: DataFrame, kind: str) -> DataFrame:
+    """rows with value replaced by what the rules of a kind make of it, and the rule's id; an equi join on distinct keys."""
+    own = forms.where(F.col("kind") == kind).select(F.col("key").alias("of_key"), "canonical", F.col("rule_id").alias("by_rule"))
+    met = rows.join(own, F.col(value) == F.col("of_key"), "left")
+    return met.withColumn(value, F.coalesce("canonical", value)).drop("of_key", "canonical")
+
+
 def change_effects(assessed: DataFrame, invoices: DataFrame) -> DataFrame:
     """Per change: holds by outcome and the money they free or wait with, a document counted once per hold."""
     money = invoices.select(F.col("id").alias("invoice_id"), "gross_paise")
@@ -154,11 +178,15 @@ def change_effects(assessed: DataFrame, invoices: DataFrame) -> DataFrame:
     return assessed.join(money, "invoice_id").groupBy("change_id").agg(count("released").alias("released"), count("requires_named_release").alias("named"), count("withheld").alias("withheld"), of("released").alias("released_paise"), of("requires_named_release").alias("awaiting_paise"))
 
 
-def release_types(spark: SparkSession) -> DataFrame:
-    """Per tolerance kind the hold types it governs, and those it can lift by itself."""
-    rows = spark.createDataFrame(REACH, "kind string, hold_type string, basis string").join(F.broadcast(spark.createDataFrame([p[:2] for p in HOLD_POLICIES], "hold_type string, auto_releasable boolean")), "hold_type")
+def release_types(holds: DataFrame) -> DataFrame:
+    """Per tolerance kind the hold types it governs, those it can lift by itself, and how many of the holds (invoice_id, hold_type) are of either."""
+    spark = holds.sparkSession
+    counts = holds.groupBy("hold_type").agg(F.count("*").alias("n"))
+    rows = spark.createDataFrame(REACH, "kind string, hold_type string, basis string").join(spark.createDataFrame([p[:2] for p in HOLD_POLICIES], "hold_type string, auto_releasable boolean"), "hold_type").join(counts, "hold_type", "left")
     lifts = (F.col("basis") == "declared") & F.col("auto_releasable")
-    return rows.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("hold_type")), "+").alias("governed"), F.array_join(F.array_sort(F.collect_list(F.when(lifts, F.col("hold_type")))), "+").alias("releasable"))
+    names = lambda which: F.array_join(F.array_sort(F.collect_list(F.when(which, F.col("hold_type")))), "+")
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    return rows.groupBy("kind").agg(names(F.lit(True)).alias("governed"), names(lifts).alias("releasable"), total(F.lit(True)).alias("governed_holds"), total(lifts).alias("releasable_holds"))
 
 
 def tolerance_preview(changes: DataFrame, holds: DataFrame, invoices: DataFrame) -> DataFrame:

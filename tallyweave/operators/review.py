@@ -141,12 +141,15 @@ def reach(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REACH, "kind string, hold_type string, basis string")
 
 
-def reach_matrix(spark: SparkSession) -> DataFrame:
-    """Every tolerance kind and hold type: declared, admissible or none."""
+def reach_matrix(holds: DataFrame, changes: DataFrame) -> DataFrame:
+    """Every tolerance kind and hold type: declared, admissible or none; with the holds of the type and the changes of the kind."""
+    spark = holds.sparkSession
     kinds = spark.createDataFrame([(k,) for k in TOLERANCE_KINDS], "kind string")
     types = spark.createDataFrame([(p[0], p[0] in UNREACHED) for p in HOLD_POLICIES], "hold_type string, unreached boolean")
-    rows = kinds.join(types, F.lit(True)).join(reach(spark), ["kind", "hold_type"], "left")
-    return rows.select("kind", "hold_type", F.coalesce("basis", F.lit("none")).alias("basis"), "unreached")
+    counts = {name: rows.groupBy(name).agg(F.count("*").alias(f"n_{name}")) for name, rows in (("hold_type", holds), ("kind", changes))}
+    rows = kinds.join(types, F.lit(True)).join(reach(spark), ["kind", "hold_type"], "left").join(counts["hold_type"], "hold_type", "left").join(counts["kind"], "kind", "left")
+    number = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select("kind", "hold_type", F.coalesce("basis", F.lit("none")).alias("basis"), "unreached", number("n_hold_type").alias("holds"), number("n_kind").alias("changes"))
 
 
 def tolerance_direction(from_kind: Column, from_value: Column, to_kind: Column, to_value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.reference_data import WINDOW_DAYS
+from tallyweave.operators.ordinals import with_ordinals
 from tallyweave.operators.review import canonical_hash
 from tallyweave.operators.scoring import ACCEPT, amount_score, amount_within, composite, date_score
 
@@ -32,6 +33,35 @@ def admitted(nominations: DataFrame, invoices: DataFrame, payments: DataFrame, r
     return scored.select("nomination_id", "invoice_id", verdict.alias("verdict"), "composite")
 
 
+def reverified(nominations: DataFrame, pairs: DataFrame, places: int = 9) -> DataFrame:
+    """rank, nomination_id, invoice_id, payment_ids, composite, residual_paise, proposed_by: a batch of nominated sets, scored anew and ranked among themselves.
+
+    nominations have nomination_id, invoice_id, payment_ids and proposed_by; pairs are scored pairs
+    (scoring.scored_pairs) of exactly the nominated documents and payments, and a set that names one
+    without a pair is left out as a whole, as is an empty set. A set is scored by its sum, its best
+    reference, its best vendor and its latest date. Ranks follow one total order over the batch: composite,
+    reference, amount, vendor, nearness of date, then the sorted ids; a payment named twice counts once.
+    """
+    sets = nominations.select("nomination_id", "invoice_id", "proposed_by", F.array_sort(F.array_distinct("payment_ids")).alias("payment_ids")).where(F.size("payment_ids") > 0)
+    parts = sets.select("*", F.explode("payment_ids").alias("payment_id")).join(pairs.withColumnRenamed("id", "invoice_id"), ["invoice_id", "payment_id"], "left")
+    found = parts.groupBy("nomination_id", "invoice_id", "proposed_by", "payment_ids").agg(
+        F.count("amount_paise").alias("known"),
+        F.max("gross_paise").alias("gross_paise"),
+        F.max("invoice_date").alias("invoice_date"),
+        F.sum("amount_paise").alias("settled"),
+        F.max("value_date").alias("value_date"),
+        F.max("reference_score").alias("reference_score"),
+        F.max("vendor_score").alias("vendor_score"),
+    ).where(F.col("known") == F.size("payment_ids"))
+    scored = found.withColumns({"amount_score": amount_score(F.col("gross_paise"), F.col("settled")), "date_score": date_score(F.col("invoice_date"), F.col("value_date"))})
+    scored = scored.withColumns({k: F.round(k, 9) for k in ("amount_score", "date_score", "reference_score", "vendor_score")})
+    scored = scored.withColumn("composite", F.round(composite({k: F.col(f"{k}_score") for k in ("amount", "reference", "date", "vendor")}), places))
+    gap = F.coalesce(F.abs(F.datediff("value_date", "invoice_date")), F.lit(1 << 30))
+    order = {"o1": -F.col("composite"), "o2": -F.col("reference_score"), "o3": -F.col("amount_score"), "o4": -F.col("vendor_score"), "o5": gap, "o6": F.array_join("payment_ids", "+")}
+    ranked = with_ordinals(scored.withColumns(order), [*order, "invoice_id", "nomination_id"], "rank")
+    return ranked.select("rank", "nomination_id", "invoice_id", "payment_ids", "composite", (F.col("settled") - F.col("gross_paise")).alias("residual_paise"), "proposed_by")
+
+
 def released_holds(holds: DataFrame, releases: DataFrame) -> DataFrame:
     """The next snapshot of holds: those named in releases (invoice_id, hold_type, released_by) and still open are released."""
     new = releases.groupBy("invoice_id", "hold_type").agg(F.min("released_by").alias("now_by"))

@@ -588,11 +588,6 @@ def vendor_exposure(spark, sf_dir):
 # --- governance ------------------------------------------------------------------------------
 
 
-@query("reach_matrix", f"SELECT k.kind, p.hold_type, coalesce(r.basis, 'none') AS basis, p.hold_type IN {_in(UNREACHED)} AS unreached FROM {_values([(k,) for k in TOLERANCE_KINDS], 'kind')} k CROSS JOIN {_values([(p[0],) for p in HOLD_POLICIES], 'hold_type')} p LEFT JOIN {_values(REACH, 'kind, hold_type, basis')} r ON r.kind = k.kind AND r.hold_type = p.hold_type")
-def reach_matrix(spark, sf_dir):
-    return review.reach_matrix(spark)
-
-
 _CHANGE = "CASE {0} % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'absolute_paise' WHEN 2 THEN 'percentage' WHEN 3 THEN 'days' ELSE 'similarity' END"
 
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.reference_data import HOLD_POLICIES, REACH, STRATA, WINDOW_DAYS
-from tallyweave.operators import cardinality, holds, narration, normalise, records, review, scoring
+from tallyweave.functions.reference_data import HOLD_POLICIES, REACH, STRATA, TOLERANCE_KINDS, UNREACHED, WINDOW_DAYS
+from tallyweave.operators import cardinality, holds, narration, normalise, records, review, scoring, workflow
 from tallyweave.plans import catalogue as c
 from tallyweave.plans.catalogue import query
 from tallyweave.sources import ledger
@@ -203,9 +203,70 @@ def change_effects(spark, sf_dir):
     return records.change_effects(c._assessed(spark, sf_dir), ledger.invoices(spark, sf_dir))
 
 
-@query("release_types", f"SELECT kind, string_agg(hold_type, '+' ORDER BY hold_type) AS governed, coalesce(string_agg(hold_type, '+' ORDER BY hold_type) FILTER (basis = 'declared' AND auto_releasable), '') AS releasable FROM {c._values(REACH, 'kind, hold_type, basis')} JOIN {c._values([p[:2] for p in HOLD_POLICIES], 'hold_type, auto_releasable')} USING (hold_type) GROUP BY 1")
+@query(
+    "reach_matrix",
+    _led(
+        f""" SELECT k.kind, p.hold_type, coalesce(r.basis, 'none') AS basis, p.hold_type IN {c._in(UNREACHED)} AS unreached,
+        (SELECT count(*) FROM hold h WHERE h.hold_type = p.hold_type) AS holds, (SELECT count(*) FROM change WHERE change.kind = k.kind) AS changes
+        FROM {c._values([(k,) for k in TOLERANCE_KINDS], 'kind')} k CROSS JOIN policy p LEFT JOIN {c._values(REACH, 'kind, hold_type, basis')} r ON r.kind = k.kind AND r.hold_type = p.hold_type""",
+        c._HOLDS, names=("change",),
+    ),
+)
+def reach_matrix(spark, sf_dir):
+    return review.reach_matrix(c._holds(spark, sf_dir), _records(spark, sf_dir, "change"))
+
+
+@query(
+    "release_types",
+    _led(
+        f""" SELECT kind, string_agg(hold_type, '+' ORDER BY hold_type) AS governed, coalesce(string_agg(hold_type, '+' ORDER BY hold_type) FILTER (basis = 'declared' AND auto_releasable), '') AS releasable,
+        CAST(coalesce(sum(n), 0) AS BIGINT) AS governed_holds, CAST(coalesce(sum(n) FILTER (basis = 'declared' AND auto_releasable), 0) AS BIGINT) AS releasable_holds
+        FROM {c._values(REACH, 'kind, hold_type, basis')} JOIN policy USING (hold_type) LEFT JOIN (SELECT hold_type, count(*) AS n FROM hold GROUP BY 1) USING (hold_type) GROUP BY 1""",
+        c._HOLDS,
+    ),
+)
 def release_types(spark, sf_dir):
-    return records.release_types(spark)
+    return records.release_types(c._holds(spark, sf_dir))
+
+
+@query(
+    "rule_canonical_forms",
+    _sql(
+        """, known AS (SELECT 'VEN-' || CAST(event_id AS VARCHAR(12)) AS vendor_id, 'grantor ' || CAST(event_id AS VARCHAR(12)) AS canonical FROM events WHERE event_id % 2 = 0),
+        form AS (SELECT kind, raw_value AS key, canonical, vendor_id, rule_id, created_at FROM rule JOIN known ON vendor_id = canonical_vendor_id WHERE active AND kind = 'vendor_alias'
+          UNION ALL SELECT kind, 'p ' || substr(pattern, 2), substr(pattern, 2), NULL, rule_id, created_at FROM rule WHERE active AND kind = 'reference_pattern' AND pattern IS NOT NULL)
+        SELECT kind, key, arg_max(canonical, (created_at, rule_id)) AS canonical, arg_max_null(vendor_id, (created_at, rule_id)) AS vendor_id, arg_max(rule_id, (created_at, rule_id)) AS rule_id FROM form GROUP BY 1, 2""",
+        "rule",
+    ),
+)
+def rule_canonical_forms(spark, sf_dir):
+    """What reviewers' rules make of names and references; a reference P17 reads as INV 17."""
+    rules = _records(spark, sf_dir, "rule").withColumn("canonical_form", F.concat(F.lit("INV "), F.substring("pattern", 2, 20)))
+    vendors = c._read(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.concat(F.lit("VEN-"), F.col("event_id").cast("string")).alias("vendor_id"), F.concat(F.lit("Grantor "), F.col("event_id").cast("string"), F.lit(" Ltd")).alias("vendor_name"))
+    return records.canonical_forms(rules, vendors)
+
+
+_SETS = f"""named AS (SELECT id AS invoice_id, any_value(j) AS j, any_value(gross_paise) AS gross_paise, any_value(invoice_date) AS invoice_date, list_sort(list(payment_id)) AS payment_ids,
+    sum(amount_paise) AS amount_paise, max(value_date) AS value_date, max(round(agreement, 9)) AS re FROM agreed GROUP BY id),
+  judged_sets AS (SELECT *, round({c._AMOUNT}, 9) AS am, round({c._DATE}, 9) AS da FROM named WHERE j % 13 <> 0),
+  ranked_sets AS (SELECT *, round(greatest(0.0, least(1.0, CAST(0.35 AS DOUBLE) * am + CAST(0.4 AS DOUBLE) * re + CAST(0.1 AS DOUBLE) * da)), 6) AS composite FROM judged_sets)"""
+
+
+@query(
+    "reverified_sets",
+    _led(
+        f""" SELECT 'N-' || invoice_id AS nomination_id, invoice_id, array_to_string(payment_ids, '+') AS payment_ids, composite, CAST(amount_paise - gross_paise AS BIGINT) AS residual_paise, 'feedback_rule' AS proposed_by,
+        row_number() OVER (ORDER BY composite DESC, re DESC, am DESC, abs({c._GAP}), array_to_string(payment_ids, '+'), invoice_id) AS rank FROM ranked_sets""",
+        c._PAIRS, c._AGREE, _SETS,
+    ),
+)
+def reverified_sets(spark, sf_dir):
+    """All payments that quote a document, nominated as one set; every 13th document's set names a payment that isn't there and goes as a whole."""
+    pairs = c._digit_scored(spark, sf_dir)
+    unknown = F.when(F.max("j") % 13 == 0, F.array(F.lit("PAY-unknown"))).otherwise(F.array().cast("array<string>"))
+    sets = pairs.groupBy(F.col("id").alias("invoice_id")).agg(F.concat(F.collect_list("payment_id"), unknown).alias("payment_ids"))
+    nominations = sets.select(F.concat(F.lit("N-"), "invoice_id").alias("nomination_id"), "invoice_id", "payment_ids", F.lit("feedback_rule").alias("proposed_by"))
+    return workflow.reverified(nominations, pairs, 6).withColumn("payment_ids", F.array_join("payment_ids", "+"))
 
 
 _PREVIEWED = [("P1", "percentage", None), ("P2", "absolute_paise", "VEN-0000007"), ("P3", "similarity", None)]
