@@ -42,6 +42,14 @@ def _amount_score(gross: np.ndarray, settled: np.ndarray) -> np.ndarray:
     return np.where(delta > 0, base * 0.6, base)
 
 
+def _possible(gross: int, settled: int) -> float:
+    """_amount_score of one pair."""
+    near = max(50_000, math.floor(abs(gross) * 0.12 + 0.5))
+    zero, d = max(near, math.floor(abs(gross) * 0.5 + 0.5)), abs(settled - gross)
+    base = 1 - 0.45 * d / near if d <= near else 0.55 * (zero - d) / (zero - near) if d <= zero else 0.0
+    return base * 0.6 if settled > gross else base
+
+
 def _date_score(gap: np.ndarray) -> np.ndarray:
     d = np.abs(gap)
     base = np.where(d <= 21, 1.0, np.where(d <= WINDOW_DAYS, 1 - 0.8 * (d - 21) / (WINDOW_DAYS - 21), 0.0))
@@ -62,10 +70,10 @@ def search(ask: dict[str, np.ndarray], pay: dict[str, np.ndarray], k: int = K, l
     n, top = len(rows), {"at": np.full((len(rows), k), -1), "score": np.full((len(rows), k), -1.0), "amount": np.zeros((len(rows), k)), "gap": np.zeros((len(rows), k))}
     gross, day, dated = ask["gross"][rows], ask["day"][rows], ask["stretch"][rows] != UNDATED
     first, last = begins[own[rows]], ends[own[rows]]
-    down = np.empty(n, np.int64)
-    for s in np.unique(own[rows]):
-        mine = own[rows] == s
-        down[mine] = begins[s] + np.searchsorted(pay["amount"][begins[s] : ends[s]], gross[mine], "right") - 1
+    _, rank = np.unique(np.concatenate([pay["amount"], gross]), return_inverse=True)
+    inside_of = lambda segments, ranks: segments * (1 << 32) + ranks
+    places = inside_of(np.repeat(np.arange(len(begins)), ends - begins), rank[: len(pay["amount"])])
+    down = np.searchsorted(places, inside_of(own[rows], rank[len(pay["amount"]) :]), "right") - 1
     up, live = down + 1, np.arange(n)
     turn = pay["id_rank"]
     while len(live):
@@ -140,7 +148,7 @@ def _routes(bounds: list[tuple], bar: bool):
                 day_part = DATE if group[1] != UNDATED else 0.0
                 for c, step, edge in ((left - 1, -1, highs), (right + 1, 1, lows)):
                     while 0 <= c < len(cells) and edge[c][:2] == group:
-                        if AMOUNT * float(_amount_score(np.array([place[2]]), np.array([edge[c][2]]))[0]) + day_part < row[4]:
+                        if AMOUNT * _possible(place[2], edge[c][2]) + day_part < row[4]:
                             break
                         out.append((cells[c], *row[:4]))
                         c += step

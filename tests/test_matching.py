@@ -127,6 +127,7 @@ def test_search_scores_as_the_scorer_does(spark):
     frame = spark.createDataFrame([(g, a, day, day + dt.timedelta(days=n)) for g, a, n in rows], "g long, a long, d date, v date")
     got = frame.select(scoring.amount_score(F.col("g"), F.col("a")).alias("a"), scoring.date_score(F.col("d"), F.col("v")).alias("d")).collect()
     g, a, n = (np.array(x) for x in zip(*rows))
+    assert [nearest._possible(*r[:2]) for r in rows] == nearest._amount_score(g, a).tolist()
     assert [r["a"] for r in got] == pytest.approx(nearest._amount_score(g, a).tolist()) and [r["d"] for r in got] == pytest.approx(nearest._date_score(n).tolist())
 
 
