@@ -27,7 +27,7 @@ _NONE = np.int32(2**31 - 1)
 #: Words of more symbols have rounds of their own, which merge all pairs of a rank: together with others', rounds would be as many as symbols.
 LONG = 512
 #: Distinct words kept between blocks, and characters in a block.
-KEPT, BLOCK_CHARS = 300_000, 4_000_000
+KEPT, BLOCK_CHARS = 300_000, 2_000_000
 
 
 class _Seen(dict):
