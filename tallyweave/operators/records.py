@@ -190,13 +190,19 @@ def release_types(holds: DataFrame) -> DataFrame:
 
 
 def tolerance_preview(changes: DataFrame, holds: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Per change (change_id, kind, vendor_id or null): open holds it governs in its scope, and their documents' money."""
+    """Per change (change_id, kind, vendor_id or null): open holds it governs in its scope, and their documents' money.
+
+    Holds are summed by kind and vendor before any change meets them; a document has one vendor, so
+    sums of documents over vendors are exact.
+    """
     spark = holds.sparkSession
-    rows = holds.join(invoices.select(F.col("id").alias("invoice_id"), F.col("vendor_id").alias("own_vendor"), "gross_paise"), "invoice_id")
-    kinds = F.broadcast(spark.createDataFrame([r[:2] for r in REACH], "kind string, hold_type string"))
-    met = rows.join(kinds, "hold_type").join(F.broadcast(changes), "kind").where(F.col("vendor_id").isNull() | (F.col("vendor_id") == F.col("own_vendor")))
-    sums = met.groupBy("change_id").agg(F.count("*").alias("holds"), F.countDistinct("invoice_id").alias("documents"), F.sum("gross_paise").alias("money_paise"))
-    return changes.select("change_id").join(sums, "change_id", "left").fillna(0)
+    kinds = F.broadcast(spark.createDataFrame([r[:2] for r in REACH], "kind string, hold_type string"))  # a closed list
+    rows = holds.join(invoices.select(F.col("id").alias("invoice_id"), "vendor_id", "gross_paise"), "invoice_id").join(kinds, "hold_type")
+    by_vendor = rows.groupBy("kind", "vendor_id").agg(F.count("*").alias("holds"), F.countDistinct("invoice_id").alias("documents"), F.sum("gross_paise").alias("money_paise"))
+    sums = ["holds", "documents", "money_paise"]
+    by_kind = by_vendor.groupBy("kind").agg(*[F.sum(c).alias(c) for c in sums])
+    own = changes.where("vendor_id IS NOT NULL").join(by_vendor, ["kind", "vendor_id"], "left").select("change_id", *sums)
+    return own.unionByName(changes.where("vendor_id IS NULL").join(by_kind, "kind", "left").select("change_id", *sums)).fillna(0)
 
 
 # --- pairs and their evidence ----------------------------------------------------------------

@@ -162,13 +162,17 @@ def assess_changes(changes: DataFrame, holds: DataFrame, released: Column) -> Da
     """What a tolerance change may do to each open hold in scope: change_id, invoice_id, hold_type, outcome.
 
     changes has change_id, kind, direction, vendor_id (null: all). holds has invoice_id, vendor_id,
-    hold_type.
+    hold_type. A change is listed with each hold type and meets its holds by type, and by vendor where it has one.
     """
     from tallyweave.operators.holds import policies
 
     spark = holds.sparkSession
-    scoped = holds.withColumn("released", released).join(F.broadcast(changes.withColumnRenamed("vendor_id", "scope")), F.col("scope").isNull() | (F.col("scope") == F.col("vendor_id")))
-    rows = scoped.join(F.broadcast(reach(spark)), ["kind", "hold_type"], "left").join(F.broadcast(policies(spark).select("hold_type", "auto_releasable")), "hold_type")
+    types = F.explode(F.array(*[F.lit(p[0]) for p in HOLD_POLICIES])).alias("hold_type")
+    # two closed lists: five kinds by eleven types
+    listed = changes.withColumnRenamed("vendor_id", "scope").select("*", types).join(F.broadcast(reach(spark)), ["kind", "hold_type"], "left").join(F.broadcast(policies(spark).select("hold_type", "auto_releasable")), "hold_type")
+    open_ = holds.withColumn("released", released)
+    own = listed.where("scope IS NOT NULL").withColumnRenamed("scope", "vendor_id")
+    rows = open_.join(own, ["hold_type", "vendor_id"]).unionByName(open_.join(listed.where("scope IS NULL").drop("scope"), "hold_type"))
     outcome = (
         F.when(F.col("released"), "already_released")
         .when(F.col("basis").isNull(), "not_reached")

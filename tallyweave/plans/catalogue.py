@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.reference_data import ABBREVIATIONS, AMOUNT_CAP, HOLD_POLICIES, LEGAL_SUFFIXES, NOISE_TOKENS, REACH, REFERENCE_PREFIXES, ROUTING, TOLERANCE_KINDS, UNREACHED
 from tallyweave.functions.similarity import digit_agreement
-from tallyweave.operators import cardinality, conflicts, holds, normalise, review, scoring
+from tallyweave.operators import cardinality, conflicts, evaluation, holds, normalise, review, scoring
 from tallyweave.sources import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -516,6 +516,27 @@ def floors(judged):
     return review.floors(review.eval_totals(judged))
 
 
+def _run_rows(spark, sf_dir) -> DataFrame:
+    """The judged run, with headlines and conflicts; written once a session."""
+    inv, _, proposals = _run(spark, sf_dir)
+    return ledger.kept(spark, sf_dir, "run_rows", lambda: evaluation.run_rows(inv, _truth(spark, sf_dir), decisions(spark, sf_dir), proposals))
+
+
+@query("run_totals")
+def run_totals(spark, sf_dir):
+    return evaluation.run_totals(_run_rows(spark, sf_dir), ledger.payments(spark, sf_dir).count())
+
+
+@query("run_hold_types")
+def run_hold_types(spark, sf_dir):
+    return evaluation.run_hold_types(_run_rows(spark, sf_dir))
+
+
+@query("run_floors")
+def run_floors(spark, sf_dir):
+    return evaluation.run_floors(run_totals(spark, sf_dir), run_hold_types(spark, sf_dir))
+
+
 @query("largest_remainder", _with(""", w AS (SELECT vendor_id AS key, count(*) AS weight FROM inv GROUP BY 1), s AS (SELECT key, weight * CAST(1000 AS DOUBLE) / sum(weight) OVER () AS share FROM w),
  r AS (SELECT key, floor(share) AS base, round(share - floor(share), 9) AS rest FROM s), n AS (SELECT *, row_number() OVER (ORDER BY rest DESC, key) AS turn, 1000 - sum(base) OVER () AS spare FROM r)
  SELECT key, CAST(base + CASE WHEN turn <= spare THEN 1 ELSE 0 END AS BIGINT) AS seats FROM n"""))

@@ -60,3 +60,14 @@ def test_evaluation_judges_the_decisions(spark, tmp_path):
         assert {x[3] for x in found} == {max((s for _, _, s, _ in found), key=["advisory", "material", "blocking"].index)} == {run[i]["severity"]}
     rate = len(wrong) / max(len(cleared), 1) - len(naive_wrong) / max(sum(x == "auto_clear" for x in before.values()), 1)
     assert rows("regression_gate")[0]["rate_change"] == pytest.approx(rate, abs=1e-8)
+    (whole,) = rows("run_totals")
+    right = {i for i in cleared if i not in wrong}
+    leads = {r["hold_type"]: r for r in rows("run_hold_types")}
+    assert (whole["invoices_total"], whole["auto_cleared"], whole["false_clears"], whole["correct_clears"], whole["decided"]) == (len(run), len(cleared), len(wrong), len(right), decided)
+    assert whole["match_recall"] == round(len(right) / len(paid.keys() & run.keys()), 9) and whole["held_without_conflict"] == 0
+    assert whole["conflicts"] == sum(len(r["conflicts"]) for r in run.values()) and whole["at_risk_paise"] == sum(inv[i]["gross_paise"] for i in wrong)
+    assert whole["holds_by_type"] == {t: r["applied"] for t, r in leads.items()} and sum(whole["holds_by_type"].values()) == whole["held"]
+    assert sum(r["auto_released"] for r in leads.values()) == sum(r["action"] == "hold" and not r["requires_human"] for r in run.values())
+    floors = {r["floor"]: r for r in rows("run_floors")}
+    assert len(floors) == 6 + sum(r["expected"] > 0 for r in leads.values()) and floors["held_invoices_without_conflict"]["met"]
+    assert all(floors[f"per_hold_type_recall_min.{t}"]["met"] == (r["recall"] >= 0.7) for t, r in leads.items() if r["expected"])
