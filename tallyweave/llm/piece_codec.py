@@ -345,6 +345,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids, at = model.encode(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, model.decode(ids, at).cast(pa.string())], names=["doc_id", "ids", "decoded"])
+        model._forget()  # a worker outlives its task; words needn't
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
