@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -388,3 +389,41 @@ def test_license_every_phrase_is_found(spark):
     assert {(r["doc_id"] - n, r["license"]) for r in got if n <= r["doc_id"] < 2 * n} == {(i, name) for i, (name, _) in enumerate(cases)}
     assert sorted((r["doc_id"] - 2 * n, r["license"]) for r in got if r["doc_id"] >= 2 * n) == [(0, "CC-BY-4.0"), (0, "MIT")]
     assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["n_chars"]].strip() for r in got)
+
+
+def test_license_files_and_names(spark):
+    wrap = lambda text: "\n".join(textwrap.wrap(text, 72))
+    conditions = license_scan._BSD.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+    mit = "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrap(license_scan._MIT)
+    bsd = "Copyright 2019 Foo Inc.\n\n" + wrap(conditions)
+    files = [("MIT", mit), ("BSD-2-Clause", f"{bsd}\n\n{wrap(license_scan._BSD_END)}"), ("BSD-3-Clause", f"{bsd}\n3. {license_scan._BSD_NAMES}\n\n{wrap(license_scan._BSD_END)}"), ("ISC", "ISC License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrap(license_scan._ISC))]
+    named = [
+        ("MIT", "Released under the MIT License, see LICENSE for details."), ("MIT", "This software is released under the MIT License and copyright 2020 Jane Doe."), ("MPL-2.0", "Licensed under the Mozilla Public License 2.0"),
+        ("CC-BY-4.0", "All content is licensed under CC BY 4.0 unless noted otherwise."), ("GPL-3.0", "Code is licensed under GPLv3."), ("BSD-3-Clause", "BSD 3-clause license"), ("MIT OR Apache-2.0", "Dual licensed under MIT or Apache-2.0"),
+    ]
+    none = ["License", "the License", "I got a license. Copyright law is hard.", "It was licensed under MIT-like terms.", "Licensed under the Apache License, Version 7.0."]
+    texts = [t for _, t in files + named] + none
+    got = license_scan.scan_licenses(make(spark, [(i, f"The boats stayed in the harbour.\n\n{t}\n\nThe boats left again.", "a") for i, t in enumerate(texts)])).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(i, name) for i, (name, _) in enumerate(files + named)]
+    whole = {r["doc_id"]: r for r in got}
+    assert all(whole[i]["start"] == 34 and whole[i]["n_chars"] == len(text) and whole[i]["differing_words"] <= 4 for i, (_, text) in enumerate(files))
+
+
+def test_license_alignment_equals_all_spans():
+    rng = random.Random(8)
+
+    def distance(a, b):  # insertions and deletions
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(before[j - 1] if x == y else 1 + min(before[j], row[-1]))
+        return row[-1]
+
+    for _ in range(60):
+        block, phrase = ([rng.randrange(4) for _ in range(rng.randint(1, 7))] for _ in range(2))
+        rows = license_scan.alignments(block, np.array(phrase))
+        for i in range(len(block) + 1):
+            assert rows[i].min() == min(distance(block[:i], phrase[a:b]) for a in range(len(phrase) + 1) for b in range(a, len(phrase) + 1))
+        lone = license_scan.left_over(rows, block, phrase)
+        assert len(lone) == rows[-1].min()
