@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from tallyweave.operators import cardinality, normalise, scoring
+from tallyweave.operators import cardinality, holds, normalise, review, scoring
 from tallyweave.sources import ledger
 
 
@@ -41,3 +41,31 @@ def test_pools_of_one_part(spark):
     pools = spark.createDataFrame([(i, g, [("p", a)]) for i, g, a in rows], "id string, goal long, pool array<struct<part:string,amount:long>>")
     got = {r["id"]: (r["finding"], r["payment_ids"], r["settled_paise"], r["residual_paise"], r["contested"]) for r in cardinality._searched(pools).collect()}
     assert got == {"even": ("settled", "p", 500, 0, False), "short": ("none", "", 0, 500, False), "over": ("none", "", 0, 500, False), "zero": ("settled", "p", 0, 0, False), "below": ("settled", "p", -5, 0, False)}
+
+
+def _joins(rows):
+    """Of collected rows, how the plan that ran joined."""
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return {name for name in ("BroadcastHashJoin", "SortMergeJoin") if name in plan}
+
+
+def test_rows_that_explode_adds_are_never_broadcast(spark, monkeypatch):
+    """A name has dozens of q-grams, of which Spark knows nothing when it takes the names for small enough to be sent to the driver."""
+    monkeypatch.setattr(scoring, "cut", lambda rows: rows)
+    names = spark.createDataFrame([("northgate packaging",), ("lotus traders",)], "vendor_value string")
+    links = scoring.name_links(names, spark.createDataFrame([("nrthgate packaging",), ("lotustraders",)], "vendor_value string"))
+    assert _joins(links) == {"SortMergeJoin"}
+    assert {(r["vendor_value"], r["payer_value"]) for r in links.collect()} == {("northgate packaging", "nrthgate packaging"), ("lotus traders", "lotustraders")}
+
+
+def test_decisions_meet_their_candidates_in_shuffles(spark):
+    rows = lambda kind, *values: spark.createDataFrame(values, kind)
+    invoices = rows("id string", ("a",), ("b",), ("c",))
+    ranked = rows("id string, payment_id string, composite double, rank int", ("a", "p", 0.9, 1), ("b", "q", 0.5, 1))
+    decided = holds.decisions(invoices, ranked, rows("invoice_id string, hold_type string", ("c", "tax_variance")))
+    assert {r["invoice_id"]: r["action"] for r in decided.collect()} == {"a": "auto_clear", "b": "unmatched", "c": "hold"}
+    plan = decided.groupBy("action").count()
+    assert "SortMergeJoin" in _joins(plan)
+    diff = review.run_diff(rows("invoice_id string, action string", ("a", "hold")), rows("invoice_id string, action string", ("a", "auto_clear")))
+    assert _joins(diff) == {"SortMergeJoin"}
