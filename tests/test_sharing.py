@@ -69,3 +69,17 @@ def test_decisions_meet_their_candidates_in_shuffles(spark):
     assert "SortMergeJoin" in _joins(plan)
     diff = review.run_diff(rows("invoice_id string, action string", ("a", "hold")), rows("invoice_id string, action string", ("a", "auto_clear")))
     assert _joins(diff) == {"SortMergeJoin"}
+
+
+def test_ranks_work_scores_out_once(spark):
+    """The bar of the composite isn't pushed into the scores' own step, where a filter would evaluate them anew."""
+    values = [(f"d{i % 7}", f"p{i:02d}", "0" * (i % 3) + "1" * (i % 11)) for i in range(60)]
+    scored = spark.createDataFrame(values, "id string, payment_id string, text string").select("id", "payment_id", (F.length(F.regexp_replace("text", "^0+", "")) / 20).alias("composite"), *[F.lit(0.0).alias(f"{k}_score") for k in ("reference", "amount", "vendor")], *[F.lit(None).cast("date").alias(c) for c in ("value_date", "invoice_date")])
+    ranked = scoring.ranked(scored)
+    filters = [x for x in ranked._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("regexp_replace" in x for x in filters)
+    want = set()
+    for d in range(7):
+        own = sorted((-len(t.lstrip("0")) / 20, p) for i, p, t in values if i == f"d{d}" and len(t.lstrip("0")) / 20 >= scoring.CONSIDER)
+        want |= {(f"d{d}", p, turn) for turn, (_, p) in enumerate(own[: scoring.TOP], 1)}
+    assert {(r["id"], r["payment_id"], r["rank"]) for r in ranked.collect()} == want
