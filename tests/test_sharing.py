@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from tallyweave.operators import cardinality, holds, normalise, review, scoring
+from tallyweave.operators import cardinality, holds, normalise, records, review, scoring
 from tallyweave.sources import ledger
 
 
@@ -83,3 +83,40 @@ def test_ranks_work_scores_out_once(spark):
         own = sorted((-len(t.lstrip("0")) / 20, p) for i, p, t in values if i == f"d{d}" and len(t.lstrip("0")) / 20 >= scoring.CONSIDER)
         want |= {(f"d{d}", p, turn) for turn, (_, p) in enumerate(own[: scoring.TOP], 1)}
     assert {(r["id"], r["payment_id"], r["rank"]) for r in ranked.collect()} == want
+
+
+def _documents(spark):
+    kind = "id string, reference string, gross_paise long, invoice_date string, is_credit_note boolean"
+    docs = [("a", "INV 1111", 500, "2024-01-01", False), ("b", "INV 2222", 500, "2024-01-01", False), ("c", "INV 2222", 300, "2024-01-01", False), ("d", "INV 3333", 900, "2024-01-01", False), ("e", "INV 4444", 700, "2024-01-01", False), ("f", "INV 5555", 100, "2024-01-01", True)]
+    lines = [("p", "1111", 500, "2024-01-05"), ("q", "2222", 800, "2024-01-05"), ("r", "3333", 400, "2024-01-05"), ("s", "3333", 500, "2024-01-06"), ("t", "4444", 700, "2024-06-01"), ("u", "5555", 100, "2024-01-05")]
+    day = lambda c: F.col(c).cast("date")
+    return spark.createDataFrame(docs, kind).withColumn("invoice_date", day("invoice_date")), spark.createDataFrame(lines, "payment_id string, narration_raw string, amount_paise long, value_date string").withColumn("value_date", day("value_date"))
+
+
+def test_findings_search_only_what_needs_it(spark, monkeypatch):
+    """One line alone is decided without Python; a set is looked for once; growing tables meet in shuffles."""
+    searched = []
+    whole = cardinality._searched
+    monkeypatch.setattr(cardinality, "_searched", lambda pools: searched.extend((r["id"], len(r["pool"])) for r in pools.collect()) or whole(pools))
+    invoices, payments = _documents(spark)
+    found = cardinality.findings(invoices, payments)
+    assert "SortMergeJoin" in _joins(found) and "BroadcastHashJoin" not in _joins(found)
+    assert {r["invoice_id"]: (r["finding"], r["payment_ids"], r["days_outside"]) for r in found.collect()} == {
+        "a": ("settled", "p", 0), "b": ("settled_in_bulk", "", 0), "c": ("settled_in_bulk", "", 0), "d": ("settled", "r+s", 0), "e": ("advice_outside_window", "", 152),
+    }
+    assert sorted(searched) == [("d", 2), ("q", 2)]
+
+
+def test_queues_and_bundles_meet_in_shuffles(spark):
+    rows = lambda kind, *values: spark.createDataFrame(values, kind)
+    held, ranked = rows("invoice_id string, hold_type string", ("a", "tax_variance")), rows("id string, payment_id string, composite double, rank int", ("a", "p", 0.9, 1))
+    decided = rows("case_id string, decision_id string, action string, reviewer string, decided_at string", ("k", "d1", "approve", "z", "2024"))
+    queue = records.hydrated(rows("invoice_id string, case_id string", ("a", "k")), held, ranked, decided)
+    assert [(r["hold_types"], r["payment_id"], r["decision_id"]) for r in queue.collect()] == [("tax_variance", "p", "d1")]
+    invoices = rows("id string, case_id string, vendor_id string, gross_paise long, invoice_date string", ("a", "k", "v", 5, "2024-01-01"), ("b", "k", "v", 5, "2024-01-04"))
+    bundles = records.case_bundles(invoices.withColumn("invoice_date", F.col("invoice_date").cast("date")), held, ranked, decided, rows("affected_ids array<string>", (["a", "c"],)))
+    assert [(r["invoice_id"], r["holds"], r["candidates"], r["changes"], r["alike"], r["day_gap"]) for r in bundles.collect()] == [("a", 1, 1, 1, 1, 3)]
+    for plan, broadcasts in ((queue, 1), (bundles, 1)):  # the decisions of 3,000 cases
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert text.count("SortMergeJoin") >= 2 and text.count("BroadcastHashJoin") <= broadcasts
